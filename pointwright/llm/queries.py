@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, sentencepiece_codec, token_files
+from . import fingerprints, sentencepiece_codec, substring_dedup, token_files
 from .work import shared_dir
 
 
@@ -19,6 +20,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeated(documents(spark, sf_dir), length=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL
+), p AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)
+), m AS (
+  SELECT g, min(doc_id) AS d FROM p GROUP BY g
+), r AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM p JOIN m USING (g) WHERE doc_id > d
+), k AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w
+), kept AS (
+  SELECT k.doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM k ANTI JOIN r ON k.doc_id = r.doc_id AND k.j = r.j GROUP BY k.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     token_files.write(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -33,5 +58,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
-QUERIES = {"op6_token_files": op6_token_files, "op8_sentencepiece": op8_sentencepiece, "op10_fingerprints": op10_fingerprints}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op6_token_files": op6_token_files, "op8_sentencepiece": op8_sentencepiece, "op10_fingerprints": op10_fingerprints}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
