@@ -43,6 +43,8 @@ LENGTH, GRAM = 13, 5
 HOT, LOCAL_HOT = 256, 16
 #: Anchors that a mapper holds before it packs them.
 HELD = 1 << 20
+#: Input bytes of a part: what a task holds of texts, anchors or segments is in proportion.
+PART_BYTES = 4 << 20
 LOW48 = U((1 << 48) - 1)
 #: A reference that is broadcast whole may have so many words.
 MAX_REFERENCE_WORDS, SHARD_WORDS = 2_000_000, 100_000
@@ -413,7 +415,7 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
         raise ValueError("gram must be from 1 to length")
     if clash := {"doc_id", "text", "th", "part", *RESULT} & set(carry):
         raise ValueError(f"carried columns have names of results: {sorted(clash)}")
-    n = prime_from(parts_for(df))
+    n = prime_from(parts_for(df, PART_BYTES))
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.pmod("doc_id", F.lit(n)).cast("int").alias("part"), *carry)
     flags = mark(docs, n, length, gram)
