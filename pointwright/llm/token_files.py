@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from .packed import parts_for
 from .ranges import bounds_of, part_of
-from .words import BYTE_VALUES, U, Words, mix64, powers, steps
+from .words import BYTE_VALUES, IS_SPACE, U, Words, mix64, powers, steps
 
 BLOCK_IDS = 1 << 18
 #: The dictionary is trained on at most so many documents and bytes of ids.
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 2000, 8 << 20, 64 << 10
 #: Units that a worker remembers the ids of.
-MEMO = 1 << 19
+MEMO = 1 << 21
 _BASE, _BASE_INV = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 
 
@@ -44,8 +44,10 @@ class Encoder:
     A byte-level pre-tokenizer never joins what stands before ASCII white space that follows a
     word with what stands after, so a text is the concatenation of units: white space and the
     word behind it. Each step of texts is cut into units, the distinct ones are encoded by the
-    tokenizers library, and the ids are laid out again by NumPy. A text with white space beyond
-    ASCII, which can join units, is encoded whole.
+    tokenizers library, and the ids are laid out again by NumPy. New units are encoded end to end
+    as one text and told apart by the bytes of their ids; those that could join a neighbour (no
+    white space in front, no word, white space beyond ASCII) go one by one. A text with white
+    space beyond ASCII, which can join units, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,6 +55,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.bytes = np.zeros(self.vocabulary, dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():  # a character of the vocabulary is a byte
+            self.bytes[i] = len(added[i].content.encode()) if i in added else len(token)
         self.forget()
 
     def forget(self) -> None:
@@ -82,12 +88,13 @@ class Encoder:
         if len(tails):
             order = np.argsort(begin, kind="stable")
             begin, end, doc = begin[order], end[order], doc[order]
-        known = self._look_up(w.data, begin, end)
+        hit = self._hits(w.data)
+        known = self._look_up(w.data, begin, end, hit)
         sizes = self.at[known + 1] - self.at[known]
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.ids[np.repeat(self.at[known] - total[:-1], sizes) + np.arange(total[-1])]
         off = total[np.searchsorted(doc, np.arange(n + 1))]
-        if len(odd := self._odd(w.data, w.offsets)):
+        if len(odd := np.unique(np.searchsorted(w.offsets, hit, "right") - 1)):
             texts = column.take(pa.array(odd)).to_pylist()
             new = dict(zip(odd.tolist(), self.plain(texts), strict=True))
             each = [np.array(new[i], dtype=np.uint32) if i in new else ids[off[i] : off[i + 1]] for i in range(n)]
@@ -95,38 +102,54 @@ class Encoder:
         return ids, off
 
     @staticmethod
-    def _odd(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Texts that may hold white space beyond ASCII: by its first UTF-8 bytes."""
+    def _hits(data: np.ndarray) -> np.ndarray:
+        """Where white space beyond ASCII may stand: by its first UTF-8 bytes."""
         a, b = data[:-1], data[1:]
         hit = ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
-        return np.unique(np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1)
+        return np.flatnonzero(hit)
 
-    def _look_up(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _look_up(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """The place of each unit in the memo; new units are encoded and added."""
         sums = np.zeros(len(data) + 1, dtype=U)
         np.multiply(BYTE_VALUES[data], powers(_BASE, len(data)), out=sums[1:])
         np.add.accumulate(sums, out=sums)
         h = mix64((sums[end] - sums[begin]) * powers(_BASE_INV, len(data))[begin] + (end - begin).astype(U))
         distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > MEMO + len(distinct) and len(self.keys) > MEMO:
+        if len(self.keys) > MEMO:
             self.forget()
         place = np.searchsorted(self.keys, distinct)
-        place_in = np.minimum(place, max(0, len(self.keys) - 1))
-        have = self.keys[place_in] == distinct if len(self.keys) else np.zeros(len(distinct), dtype=bool)
+        known = np.minimum(place, max(0, len(self.keys) - 1))
+        have = self.keys[known] == distinct if len(self.keys) else np.zeros(len(distinct), dtype=bool)
         if not have.all():
             new = np.flatnonzero(~have)
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            made = self.plain(texts)
-            sizes = np.array([len(x) for x in made], dtype=np.int64)
+            a, b = begin[first[new]], end[first[new]]
+            alone = ~IS_SPACE[data[a]] | IS_SPACE[data[b - 1]] | (np.searchsorted(hit, b) > np.searchsorted(hit, a))
+            order = np.concatenate((np.flatnonzero(~alone), np.flatnonzero(alone)))
+            a, b, new = a[order], b[order], new[order]
+            together = len(a) - int(alone.sum())
+            size = b - a
+            ends = np.cumsum(size)
+            at = np.repeat(a - ends + size, size) + np.arange(ends[-1])
+            raw = data[at].tobytes()
+            ids, sizes = [], []
+            for i in range(0, together, 4096):  # texts of a bounded length
+                j = min(i + 4096, together)
+                from_byte = int(ends[i] - size[i])
+                got = np.array(self.plain([raw[from_byte : int(ends[j - 1])].decode()])[0], dtype=np.uint32)
+                upto = np.searchsorted(np.cumsum(self.bytes[got]), ends[i:j] - from_byte, "right")
+                ids.append(got)
+                sizes.append(np.diff(upto, prepend=0))
+            single = self.plain([raw[int(e - n) : int(e)].decode() for e, n in zip(ends[together:], size[together:], strict=True)])
+            ids.append(np.array([i for x in single for i in x], dtype=np.uint32))
+            sizes.append(np.array([len(x) for x in single], dtype=np.int64))
             base = len(self.at) - 1
-            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
-            self.ids = np.concatenate((self.ids, np.array([i for x in made for i in x], dtype=np.uint32)))
-            keys = np.concatenate((self.keys, distinct[new]))
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.order = keys[order], np.concatenate((self.order, base + np.arange(len(new))))[order]
-            place_in = np.searchsorted(self.keys, distinct)
-        return self.order[place_in][inverse]
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))))
+            self.ids = np.concatenate((self.ids, *ids))
+            back = np.argsort(new)
+            self.keys = np.insert(self.keys, place[new[back]], distinct[new[back]])
+            self.order = np.insert(self.order, place[new[back]], base + back)
+            known = np.searchsorted(self.keys, distinct)
+        return self.order[known][inverse]
 
 
 _encoders: dict[str, Encoder] = {}
