@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, mixing, sentencepiece_codec, substring_dedup, token_files
+from . import fingerprints, jaccard_join, mixing, sentencepiece_codec, substring_dedup, token_files, toxicity
 from .work import shared_dir
 
 
@@ -71,6 +71,14 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY
 """
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir), folds=5, held_out=0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -89,5 +97,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op5_mixing": op5_mixing, "op6_token_files": op6_token_files, "op8_sentencepiece": op8_sentencepiece, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_token_files": op6_token_files, "op8_sentencepiece": op8_sentencepiece, "op10_fingerprints": op10_fingerprints}
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL}
