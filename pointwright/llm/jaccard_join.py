@@ -11,8 +11,9 @@ Jaccard similarity of their sets reaches the threshold (PERCENT of 100, in integ
    prefixes (n - ceil(t n) + 1 elements each). A document whose prefix is all its own is done.
 3. Documents with the same set are one node.
 4. lead: nodes that share a minimum hash with more than FEW others are put in chunks; each is
-   verified against its chunk's leaders and linked where it passes. This finds most links of
-   large groups of near copies without pairing them off.
+   verified against its chunk's leaders and linked where it passes. Then (brief) a group that
+   shares prefix elements with a larger component is verified against a few of its members.
+   This finds most links of large groups of near copies without pairing them off.
 5. join: nodes with identical prefix, size and component so far collapse into one group; groups
    of different components that share a prefix element, with sizes and positions that allow the
    threshold, are expanded and their members verified. Lists of over BLOCK groups are paired
@@ -41,7 +42,7 @@ from .work import written
 WORDS, PERCENT = 5, 75
 HOT, LOCAL_HOT = 65535, 64
 HELD = 1 << 20
-FEW, CHUNK, LEADERS, BLOCK = 8, 256, 64, 1024
+FEW, REPRESENTATIVES, CHUNK, LEADERS, BLOCK = 8, 2, 256, 64, 1024
 SALTS = mix64(np.arange(1, 4, dtype=U))
 COUNT, HOTS, PASS, INFO = 0, 1, 2, 3
 
@@ -241,8 +242,12 @@ def lead(nodes: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(link, "a long, b long")
 
 
-def candidates(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (g, h) of different components that share a prefix element, with sizes and positions that allow a link."""
+def candidates(groups: DataFrame, percent: int, brief: bool = False) -> DataFrame:
+    """Pairs of groups (g, h) of different components that share a prefix element, with sizes and positions that allow a link.
+
+    brief: not all, but for each element, of a component with at least FEW groups in its list,
+    REPRESENTATIVES (by a hash of element and group) for each group of a component with fewer.
+    """
     listed = groups.select("g", "label", "n", "own", F.posexplode("prefix").alias("at", "e")).select("e", "g", "label", "n", (F.col("own") + F.col("at")).alias("pos"))
     several = listed.groupBy("e").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("e", F.ceil(F.col("c") / BLOCK).cast("int").alias("s"))
     met = listed.join(several, "e").withColumn("own_block", F.pmod(F.xxhash64("g"), F.col("s")).cast("int"))
@@ -251,9 +256,11 @@ def candidates(groups: DataFrame, percent: int) -> DataFrame:
     met = met.repartition(F.col("e"), F.col("lo"), F.col("hi")).sortWithinPartitions("e", "lo", "hi")
 
     def pair(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
-        _, lo, hi, mine, g, label, n, pos = block
+        e, lo, hi, mine, g, label, n, pos = block
         if len(g) < 2 or label.min() == label.max():
             return None
+        if brief:
+            return few(e[0], g, label, n) if lo[0] == hi[0] else None
         left = np.flatnonzero(mine == lo[0])
         right = np.flatnonzero(mine == hi[0])
         x, y = n[left][:, None], n[right][None, :]
@@ -265,6 +272,22 @@ def candidates(groups: DataFrame, percent: int) -> DataFrame:
         a, b = g[left[i]], g[right[j]]
         return np.minimum(a, b), np.maximum(a, b)
 
+    def few(e: int, g: np.ndarray, label: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        kinds, where, count = np.unique(label, return_inverse=True, return_counts=True)
+        rank = mix64((g ^ e).view(U))
+        a, b = [], []
+        for k in np.flatnonzero(count >= FEW).tolist():
+            inside_ = np.flatnonzero(where == k)
+            chosen = inside_[np.argsort(rank[inside_])[:REPRESENTATIVES]]
+            others = np.flatnonzero((count[where] < count[k]) | (count[where] == count[k]) & (where < k))
+            for c in chosen.tolist():
+                fit = others[100 * np.minimum(n[others], n[c]) >= percent * np.maximum(n[others], n[c])]
+                a.append(g[fit]), b.append(np.full(len(fit), g[c]))
+        if not a:
+            return None
+        x, y = np.concatenate(a), np.concatenate(b)
+        return np.minimum(x, y), np.maximum(x, y)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -316,15 +339,17 @@ def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int =
     alone = sets.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     member = sets.where("node is not null")
     nodes = written(member.groupBy("node").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "own", "m", "keys", "r"))), "nodes")
-    first = written(components(lead(nodes, percent)), "led")
-    labelled = nodes.join(first, "node", "left").select("node", "n", "own", F.slice("r", 1, F.col("m")).alias("prefix"), F.coalesce("root", "node").alias("label"))
-    grouped = labelled.select("*", F.xxhash64("prefix", "n", "label").alias("g"))
-    groups = grouped.groupBy("g").agg(*(F.first(c).alias(c) for c in ("label", "n", "own", "prefix")))
-    pairs = candidates(groups, percent)
-    ids = grouped.select("g", "node")
-    expanded = pairs.join(ids.withColumnRenamed("node", "a"), "g").join(ids.select(F.col("g").alias("h"), F.col("node").alias("b")), "h").select("a", "b")
-    found = written(verified(expanded, nodes, percent), "links")
-    roots = first if found.isEmpty() else components(found.unionAll(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots = written(components(lead(nodes, percent)), "led")
+    for brief in (True, False):
+        grouped = nodes.join(roots, "node", "left").select("node", "n", "own", F.slice("r", 1, F.col("m")).alias("prefix"), F.coalesce("root", "node").alias("label"))
+        grouped = grouped.select("*", F.xxhash64("prefix", "n", "label").alias("g"))
+        groups = grouped.groupBy("g").agg(*(F.first(c).alias(c) for c in ("label", "n", "own", "prefix")))
+        ids = grouped.select("g", "node")
+        pairs = candidates(groups, percent, brief)
+        expanded = pairs.join(ids.withColumnRenamed("node", "a"), "g").join(ids.select(F.col("g").alias("h"), F.col("node").alias("b")), "h").select("a", "b")
+        found = written(verified(expanded, nodes, percent), "links")
+        if not found.isEmpty():
+            roots = components(found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     placed = nodes.select("node", "doc").join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
     where = placed.join(least, "root").select("node", "component_id")

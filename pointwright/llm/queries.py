@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, mixing, sentencepiece_codec, substring_dedup, token_files, toxicity
+from . import fingerprints, jaccard_join, mixing, quality, sentencepiece_codec, substring_dedup, token_files, toxicity
 from .work import shared_dir
 
 
@@ -89,6 +89,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, ids=False)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir), folds=4, held_out=2, threshold=0.7)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -97,5 +101,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_token_files": op6_token_files, "op8_sentencepiece": op8_sentencepiece, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_token_files": op6_token_files, "op7_quality": op7_quality, "op8_sentencepiece": op8_sentencepiece, "op10_fingerprints": op10_fingerprints}
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL}
