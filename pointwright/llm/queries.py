@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, mixing, quality, sentencepiece_codec, substring_dedup, token_files, toxicity
+from . import fingerprints, jaccard_join, license_scan, mixing, quality, sentencepiece_codec, substring_dedup, token_files, toxicity
 from .work import shared_dir
 
 
@@ -71,6 +71,10 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -101,5 +105,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_token_files": op6_token_files, "op7_quality": op7_quality, "op8_sentencepiece": op8_sentencepiece, "op10_fingerprints": op10_fingerprints}
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_token_files": op6_token_files, "op7_quality": op7_quality, "op8_sentencepiece": op8_sentencepiece, "op10_fingerprints": op10_fingerprints}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_license_scan": license_scan.sql()}
