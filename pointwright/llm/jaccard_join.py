@@ -250,7 +250,7 @@ def candidates(groups: DataFrame, percent: int, brief: bool = False) -> DataFram
     """
     listed = groups.select("g", "label", "n", "own", F.posexplode("prefix").alias("at", "e")).select("e", "g", "label", "n", (F.col("own") + F.col("at")).alias("pos"))
     several = listed.groupBy("e").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("e", F.ceil(F.col("c") / BLOCK).cast("int").alias("s"))
-    met = listed.join(several, "e").withColumn("own_block", F.pmod(F.xxhash64("g"), F.col("s")).cast("int"))
+    met = listed.hint("merge").join(several.hint("merge"), "e").withColumn("own_block", F.pmod(F.xxhash64("g"), F.col("s")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     met = met.select("e", F.least("own_block", "other").alias("lo"), F.greatest("own_block", "other").alias("hi"), "own_block", "g", "label", "n", "pos")
     met = met.repartition(F.col("e"), F.col("lo"), F.col("hi")).sortWithinPartitions("e", "lo", "hi")
