@@ -145,7 +145,7 @@ class Mix:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), r["shard"])), pa.array(np.full(len(t), r["sid"], dtype=np.int32)), pa.array(t), pa.array(lap), pa.array(place)], names=["shard", "sid", "slot", "lap", "block"])
 
         self.slots = plan.repartition(max(1, min(n, len(runs)))).mapInArrow(number, "shard long, sid int, slot long, lap long, block long")
-        self.taken = self.slots.join(pieces, ["sid", "block"])
+        self.taken = self.slots.hint("merge").join(pieces.hint("merge"), ["sid", "block"])  # both are far larger than the tables they come from
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
