@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, license_scan, mixing, quality, sentencepiece_codec, substring_dedup, token_files, toxicity
+from . import fingerprints, jaccard_join, license_scan, mixing, neighbours, quality, sentencepiece_codec, substring_dedup, token_files, toxicity
 from .work import shared_dir
 
 
@@ -101,9 +101,13 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_token_files": op6_token_files, "op7_quality": op7_quality, "op8_sentencepiece": op8_sentencepiece, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_token_files": op6_token_files, "op7_quality": op7_quality, "op8_sentencepiece": op8_sentencepiece, "op9_neighbours": op9_neighbours, "op10_fingerprints": op10_fingerprints}
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_license_scan": license_scan.sql()}
