@@ -171,11 +171,11 @@ def mixed_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", **opt
     """
     m = Mix(df, id_col, text, **options)
     per_row = m.taken.groupBy("sid", "at").agg(F.array_sort(F.collect_list(F.struct("lap", "start", "words"))).alias("__pieces"))
-    placed = m.rows.where("size > 0").join(per_row, ["sid", "at"]).select("doc_id", "th", "__pieces")
-    order = Window.partitionBy("__id", "__th").orderBy(F.lit(1))
-    numbered = placed.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__pieces").withColumn("__no", F.row_number().over(order))
-    ours = df.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(F.col(text))).withColumn("__no", F.row_number().over(order))
-    met = ours.join(numbered, ours["__id"].eqNullSafe(numbered["__id"]) & (ours["__th"] == numbered["__th"]) & (ours["__no"] == numbered["__no"])).select(*(ours[c] for c in df.columns), F.col("__pieces.start").alias("__starts"), F.col("__pieces.words").alias("__words"))
+    placed = m.rows.where("size > 0").join(per_row, ["sid", "at"]).select(F.xxhash64("doc_id", "th").alias("__key"), "__pieces")
+    order = Window.partitionBy("__key").orderBy(F.lit(1))  # equal rows are numbered, so each has its own words
+    theirs = placed.withColumn("__their", F.row_number().over(order))
+    ours = df.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text)))).withColumn("__own", F.row_number().over(order))
+    met = ours.hint("merge").join(theirs, "__key").where(F.col("__own") == F.col("__their")).select(*(ours[c] for c in df.columns), F.col("__pieces.start").alias("__starts"), F.col("__pieces.words").alias("__words"))
 
     names = df.columns
 

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -354,20 +355,20 @@ def shard(text: np.ndarray, size: np.ndarray, route: np.ndarray, doc: np.ndarray
 RESULT = ["kept_text", "n_words", "n_removed", "span_starts", "span_ends"]
 
 
-def cut(docs: DataFrame, spans: DataFrame, carry: list[str]) -> DataFrame:
+def cut(docs: DataFrame, spans: DataFrame, carry: list[str], untouched: str) -> DataFrame:
     """The documents without the words that the spans cover."""
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         d, t, s, k = _gathered(right, (np.int64, U, np.int64, np.int64))
         lost = row_keys(d, t)
-        tables = [removed(table, lost, s, k, carry) for table in steps(left, "text")]
-        return pa.concat_tables(tables or [removed(left, lost, s, k, carry)])
+        tables = [removed(table, lost, s, k, carry, untouched) for table in steps(left, "text")]
+        return pa.concat_tables(tables or [removed(left, lost, s, k, carry, untouched)])
 
     fields = [docs.schema["doc_id"], *(docs.schema[c] for c in carry), T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("span_starts", T.ArrayType(T.IntegerType())), T.StructField("span_ends", T.ArrayType(T.IntegerType()))]
     return docs.select("doc_id", "text", "th", "part", *carry).groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(remove, T.StructType(fields))
 
 
-def removed(table: pa.Table, lost: np.ndarray, start: np.ndarray, words: np.ndarray, carry: list[str]) -> pa.Table:
+def removed(table: pa.Table, lost: np.ndarray, start: np.ndarray, words: np.ndarray, carry: list[str], untouched: str) -> pa.Table:
     """A step of rows with their spans removed; lost: row keys of the spans."""
     w = Words(table.column("text").combine_chunks())
     rows_ = row_keys(table.column("doc_id").to_numpy(), table.column("th").to_numpy().view(U) & U(0xFFFFFFFF))
@@ -390,6 +391,9 @@ def removed(table: pa.Table, lost: np.ndarray, start: np.ndarray, words: np.ndar
     keep[ends[1:][has] - 1] = False
     offsets = np.concatenate(([0], np.cumsum(np.diff(ends) - has))).astype(np.int32)
     kept_text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text[keep].tobytes())])
+    if untouched == "original":
+        whole = pa.array(np.diff(per_doc) == w.counts)
+        kept_text = pc.if_else(whole, table.column("text").combine_chunks().cast(pa.string()), kept_text)
     edge = gone.copy()
     edge[1:] &= ~gone[:-1] | (w.doc[1:] != w.doc[:-1])
     s = np.flatnonzero(edge)
@@ -401,12 +405,13 @@ def removed(table: pa.Table, lost: np.ndarray, start: np.ndarray, words: np.ndar
     return pa.Table.from_arrays([table.column("doc_id"), *(table.column(c) for c in carry), *made], names=["doc_id", *carry, *RESULT])
 
 
-def remove_repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), untouched: str = "joined") -> DataFrame:
     """Each document without the words that a window shared with a smaller id covers.
 
     Returns doc_id (long), the carried columns, kept_text (kept words joined by one space),
     n_words, n_removed, and the removed maximal spans as span_starts and span_ends (word numbers
-    from 0, ends exclusive). A carried column may not be named like one of these.
+    from 0, ends exclusive). A carried column may not be named like one of these. With
+    untouched="original", a text that loses nothing is returned as it is, white space and all.
     Null or empty text has no words: kept_text "". Rows with a null id are not returned. Rows
     that share an id never remove each other's words; each gives a row. df is read twice and
     must give the same rows each time (a table does).
@@ -420,7 +425,7 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.pmod("doc_id", F.lit(n)).cast("int").alias("part"), *carry)
     flags = mark(docs, n, length, gram)
     spans = match(docs.select("doc_id", "text", "th", "part", *carry), flags, n, length, gram)
-    return cut(docs, spans, list(carry))
+    return cut(docs, spans, list(carry), untouched)
 
 
 def remove_against(df: DataFrame, reference: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
