@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import SCHEMA, deal, pack, parts_for, rows, split_by, unpack
+from .packed import SCHEMA, deal, pack, rows, split_by, unpack
 from .substring_dedup import join_words
 from .words import U, Words, mix64, steps
 
@@ -49,7 +49,7 @@ def word_grams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def ngram_counts(learning: DataFrame) -> DataFrame:
     """Packed (n-gram, toxic count, ordinary count) over rows (text, toxic)."""
-    n = max(8, min(1024, parts_for(learning)))
+    n = int(learning.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a mapper's sums grow with the alphabet, not with its texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -218,7 +218,7 @@ def classify(df: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0
     """
     known = labels.where(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("__id"), "toxic", fold(F.col(id_col), folds).alias("__fold")).where(F.col("__fold") != held_out)
     texts = df.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).where(fold(F.col("__id"), folds) != held_out)
-    learning = texts.join(known, "__id").select("__id", "text", "toxic", "__fold")
+    learning = texts.hint("merge").join(known, "__id").select("__id", "text", "toxic", "__fold")
     tuning = (held_out + 1) % folds
     model = learn(learning.where(F.col("__fold") != tuning))
     rows_ = known.where(F.col("__fold") == tuning).count()
