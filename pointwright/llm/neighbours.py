@@ -37,7 +37,7 @@ from .work import drop, shared_dir
 
 NEIGHBOURS, OFFERS, REVERSE, ROUNDS, COMPANY = 16, 4, 20, 5, 24
 BEAM, EXPAND, ENTRIES, REFINE = 600, 100, 32, 64
-PART_NODES = 2048
+PART_NODES = 1024
 STATE, MEET, OFFER, REPLY = 0, 1, 2, 3
 
 
@@ -318,7 +318,7 @@ class Index:
         few.repartition(least, F.xxhash64("vec")).select("vec", "ids").mapInArrow(lambda b: once(b, True), kinds).withColumnRenamed("ids", "members").write.parquet(f"{self.path}/nodes")
         self.nodes = spark.read.parquet(f"{self.path}/nodes")
         self.size = self.nodes.count()
-        self.n = prime_from(max(least, -(-self.size // PART_NODES)))
+        self.n = prime_from(max(4, -(-self.size // PART_NODES)))  # by size alone: packed rows go from every part to every part
         state = self._written(_random_company(self.nodes.select("node", "vec"), self.n, max(1, self.size // COMPANY), d), "graph0")
         for i in range(rounds):
             state = self._written(_descend(state, self.n, i + 5), f"graph{i + 1}")
@@ -354,7 +354,7 @@ class Index:
                 yield from _pack_beams(beams, n)
 
         state = self._written(own.mapInArrow(start, SCHEMA), "beam0")
-        store = self.store.repartition(n, "part").persist()
+        store = self.store.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part").persist()  # at least the default, so that rounds keep its partitioning
         turn = 0
         while True:
             asks = state.mapInArrow(lambda b: _asks(b, n), SCHEMA)
