@@ -159,7 +159,7 @@ def _sample(df: DataFrame, salt: int, n: int) -> np.ndarray:
     """About n rows' measures at most, by a hash of the id."""
     have = df.count()
     few = df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, n / max(1, have)))).orderBy("doc_id").select("measures").toPandas()
-    return np.array(few.measures.tolist(), dtype=float).reshape(len(few), -1)
+    return np.array(few.measures.tolist(), dtype=float) if len(few) else np.zeros((0, 0))
 
 
 def classify(df: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text: str = "text") -> DataFrame:

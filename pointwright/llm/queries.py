@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, jaccard_join, license_scan, mixing, neighbours, quality, sentencepiece_codec, substring_dedup, token_files, toxicity
-from .work import shared_dir
+from .work import shared_dir, small_batches
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,7 @@ def vocabulary(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -7,6 +7,7 @@ buffer, so no Python string is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def steps(batch: pa.RecordBatch | pa.Table, text: str, most: int = STEP_BYTES) -> Iterator[pa.Table]:
     """Slices of whole rows with at most so many bytes of text, or one row."""
     if isinstance(batch, pa.RecordBatch):
@@ -85,6 +95,7 @@ def steps(batch: pa.RecordBatch | pa.Table, text: str, most: int = STEP_BYTES) -
         to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 class Words:

@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches between the JVM and Python hold at most 16 MB: rows are whole texts here, some very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the shared folder that the session names in spark.checkpoint.dir; where it names none (tests), a temporary folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,4 +36,3 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-__all__ = ["drop", "shared_dir", "written"]
