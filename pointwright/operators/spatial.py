@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointwright.functions.columns import XYZ, distance, order_key
+from pointwright.sources.scratch import scratch_dir
 
 CLOUD = "cloud"
 
@@ -64,16 +65,21 @@ def knn_join(data: DataFrame, queries: DataFrame, k: int, start: float | None =
         best = nearest(got, k)
         if last:
             return best if settled is None else settled.unionByName(best)
-        full = Window.partitionBy(CLOUD, "qid")
-        best = best.withColumn("__n", F.count("*").over(full)).persist()
-        done = best.where(F.col("__n") >= k).drop("__n")
+        # written, so that a level's plan does not hold the plans of all levels before it
+        done = _written(best.withColumn("__n", F.count("*").over(Window.partitionBy(CLOUD, "qid"))).where(F.col("__n") >= k).drop("__n"))
         settled = done if settled is None else settled.unionByName(done)
-        pending = pending.join(done.select(CLOUD, F.col("qid").alias("pid")).distinct(), [CLOUD, "pid"], "left_anti").persist()
+        pending = _written(pending.join(done.select(CLOUD, F.col("qid").alias("pid")).distinct(), [CLOUD, "pid"], "left_anti"))
         if pending.isEmpty():
             return settled
         size *= 2
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_dir(df.sparkSession, "level")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def padded(pairs: DataFrame, k: int, order: list) -> DataFrame:
     """(cloud, qid, pos, nid, cnt): the first k of each query in an order, its first again in the slots that are left; cnt real ones."""
     w = Window.partitionBy(CLOUD, "qid").orderBy(*order)
