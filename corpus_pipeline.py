@@ -7,12 +7,14 @@ a null id pass the first stage and take no part in the later ones. An empty tabl
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointwright.llm import jaccard_join, mixing, sentencepiece_codec, substring_dedup, toxicity
 from pointwright.llm.queries import documents, labels, vocabulary
-from pointwright.llm.work import written
+from pointwright.llm.work import small_batches, written
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -50,12 +52,21 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "decoded_sha256"))
 
 
+def _stage(f):
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", without_toxic),
-    ("n-gram Jaccard join", one_of_each),
-    ("substring dedup", without_repeats),
-    ("mixing sources to target weights", mixed),
-    ("SentencePiece encoding and decoding", encoded),
+    ("toxicity", _stage(without_toxic)),
+    ("n-gram Jaccard join", _stage(one_of_each)),
+    ("substring dedup", _stage(without_repeats)),
+    ("mixing sources to target weights", _stage(mixed)),
+    ("SentencePiece encoding and decoding", _stage(encoded)),
 ]
 
 #: Trained models and a subword encoder are beyond SQL; tests compare the stages with brute force.
