@@ -4,9 +4,11 @@ Two models of the bytes of lower-cased words, one of toxic and one of ordinary t
 ORDER and with a word's white space as its context's start. The highest order has the counts of
 its class, backed off (with a prior of STRENGTH counts) to a Kneser-Ney model of both classes'
 counts, whose lower orders are continuation counts. An expression too rare in the corpus to tell
-the classes apart (its counts lie within CLEAR standard deviations of the shared split) has the
-shared counts in both models, so it is no evidence. A text's evidence is its toxic minus its
-ordinary log-likelihood per byte; a logistic curve turns it into a score.
+the classes apart (its counts lie within CLEAR standard deviations of the shared split, or its
+rates in the classes are less than TIMES apart) has the shared counts in both models, so it is no
+evidence. A word counts once in a text. A text's
+evidence is its toxic minus its ordinary log-likelihood, by its length and by the root of its
+length; a logistic curve turns both into a score.
 
 Counting covers every learning row: each mapper counts its distinct words once and sums their
 n-grams (the bytes of an n-gram are its key), packed by the hash of the n-gram. The model
@@ -27,7 +29,7 @@ from .packed import SCHEMA, deal, pack, rows, split_by, unpack
 from .substring_dedup import join_words
 from .words import U, Words, mix64, steps
 
-ORDER, DISCOUNT, STRENGTH, RARE, CLEAR = 5, 0.75, 1.0, 5e-7, 7.0
+ORDER, DISCOUNT, STRENGTH, RARE, CLEAR, TIMES = 5, 0.75, 1.0, 5e-7, 6.0, 8.0
 #: Rows that the score's curve is fitted on, at most (about; chosen by a hash of the id).
 FIT_ROWS = 20_000
 HELD = 1 << 21
@@ -47,6 +49,13 @@ def word_grams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[np.arange(len(text)) + pad * (word + 1)], word
 
 
+def once_per_text(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words (a place of each), and for every text's distinct words their number among these and the text: a repeated word is no new evidence."""
+    _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
+    pair = np.unique(w.doc * len(first) + where)
+    return first, pair % len(first), pair // len(first)
+
+
 def ngram_counts(learning: DataFrame) -> DataFrame:
     """Packed (n-gram, toxic count, ordinary count) over rows (text, toxic)."""
     n = int(learning.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a mapper's sums grow with the alphabet, not with its texts
@@ -68,9 +77,9 @@ def ngram_counts(learning: DataFrame) -> DataFrame:
                 at += table.num_rows
                 if not len(w):
                     continue
-                _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                t = np.bincount(where, weights=mine[w.doc])
-                o = np.bincount(where) - t
+                first, where, doc = once_per_text(w)
+                t = np.bincount(where, weights=mine[doc], minlength=len(first))
+                o = np.bincount(where, minlength=len(first)) - t
                 keys, word = word_grams(w, first)
                 held.append((keys, t[word], o[word]))
                 if sum(len(x[0]) for x in held) > HELD:
@@ -118,6 +127,8 @@ class KneserNey:
         both = counts[0] + counts[1]
         share = counts[0].sum() / max(1.0, both.sum())
         far = np.abs(counts[0] - share * both) >= CLEAR * np.sqrt(share * (1 - share) * both + 1e-12)
+        odds = np.log((counts[0] + 0.5) / (counts[1] + 0.5)) - np.log((counts[0].sum() + 0.5) / (counts[1].sum() + 0.5))
+        far &= np.abs(odds) >= np.log(TIMES)
         self.keys, self.ratio = self.keys[far], (logs[0] - logs[1])[far]
 
     @staticmethod
@@ -146,17 +157,19 @@ class KneserNey:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ratio[at], 0.0)
 
-    def per_byte(self, column: pa.Array) -> np.ndarray:
-        """Each text's toxic minus ordinary log-likelihood, divided by its bytes of words and word ends; 0 without words."""
+    def evidence_of(self, column: pa.Array) -> np.ndarray:
+        """Each text's toxic minus ordinary log-likelihood over its distinct words, by their bytes and by the root of these; zeros without words."""
         w = Words(column, lower=True)
         n = len(w.counts)
         if not len(w):
-            return np.zeros(n)
-        _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            return np.zeros((n, 2))
+        first, where, doc = once_per_text(w)
         keys, word = word_grams(w, first)
         each = np.bincount(word, weights=self.evidence(keys), minlength=len(first))
-        size = (w.end - w.start + 1).astype(float)
-        return np.bincount(w.doc, weights=each[where], minlength=n) / np.maximum(np.bincount(w.doc, weights=size, minlength=n), 1)
+        size = (w.end - w.start + 1)[first].astype(float)
+        total = np.bincount(doc, weights=each[where], minlength=n)
+        length = np.maximum(np.bincount(doc, weights=size[where], minlength=n), 1)
+        return np.stack((total / length, total / np.sqrt(length)), axis=1)
 
 
 def learn(learning: DataFrame) -> KneserNey:
@@ -168,36 +181,37 @@ def learn(learning: DataFrame) -> KneserNey:
     return KneserNey(kept.key.to_numpy(dtype=np.int64).view(U), kept.toxic.to_numpy(dtype=np.int64), kept.ordinary.to_numpy(dtype=np.int64))
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve of y on x (ridge-stabilised Newton steps on the scaled x)."""
+def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset of the logistic curve of y on the columns of x (ridge-stabilised Newton steps on the scaled columns)."""
     if len(np.unique(y)) < 2:
-        return 0.0, 0.0 if not len(y) else (4.0 if y[0] else -4.0)
-    scale = max(1e-9, float(np.std(x)))
-    m = np.stack((x / scale, np.ones(len(x))), axis=1)
-    b = np.zeros(2)
-    for _ in range(50):
+        return np.zeros(2), 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+    scale = np.maximum(1e-9, x.std(axis=0))
+    m = np.column_stack((x / scale, np.ones(len(x))))
+    b = np.zeros(m.shape[1])
+    ridge = np.full(len(b), 1e-2)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(m @ b, -40, 40)))
-        h = (m * (p * (1 - p))[:, None]).T @ m + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, m.T @ (y - p) - 1e-3 * b)
-        b += step
+        h = (m * (p * (1 - p))[:, None]).T @ m + np.diag(ridge)
+        step = np.linalg.solve(h, m.T @ (y - p) - ridge * b)
+        b += step * min(1.0, 4 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
-    return float(b[0] / scale), float(b[1])
+    return b[:-1] / scale, float(b[-1])
 
 
-def scored(df: DataFrame, model: KneserNey, a: float, b: float, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, evidence, score and the kept columns of every row; null text counts as empty."""
+def scored(df: DataFrame, model: KneserNey, a: np.ndarray, b: float, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, evidence (by length and by its root), score and the kept columns of every row; null text counts as empty."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     df = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("__text"), *keep)
-    fields = ", ".join(["doc_id " + df.schema["doc_id"].dataType.simpleString(), "evidence double", "score double", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)])
+    fields = ", ".join(["doc_id " + df.schema["doc_id"].dataType.simpleString(), "evidence double", "by_root double", "score double", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for table in steps(batch, "__text"):
-                x = m.per_byte(table.column("__text").combine_chunks())
-                score = 1 / (1 + np.exp(-np.clip(a * x + b, -700, 700)))
-                yield from pa.Table.from_arrays([table.column("doc_id"), pa.array(x), pa.array(score), *(table.column(c) for c in keep)], names=["doc_id", "evidence", "score", *keep]).to_batches()
+                x = m.evidence_of(table.column("__text").combine_chunks())
+                score = 1 / (1 + np.exp(-np.clip(x @ a + b, -700, 700)))
+                yield from pa.Table.from_arrays([table.column("doc_id"), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(score), *(table.column(c) for c in keep)], names=["doc_id", "evidence", "by_root", "score", *keep]).to_batches()
 
     return df.mapInArrow(run, fields)
 
@@ -223,7 +237,7 @@ def classify(df: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0
     model = learn(learning.where(F.col("__fold") != tuning))
     rows_ = known.where(F.col("__fold") == tuning).count()
     few = learning.where(F.col("__fold") == tuning).where(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(1, rows_))))
-    fit = scored(few, model, 0.0, 0.0, "__id", "text", ("toxic",)).select("evidence", "toxic").toPandas()
-    a, b = curve(fit.evidence.to_numpy(), fit.toxic.to_numpy(dtype=float))
+    fit = scored(few, model, np.zeros(2), 0.0, "__id", "text", ("toxic",)).select("evidence", "by_root", "toxic").toPandas()
+    a, b = curve(fit[["evidence", "by_root"]].to_numpy(dtype=float), fit.toxic.to_numpy(dtype=float))
     out = scored(df, model, a, b, id_col, text, keep)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)

@@ -56,8 +56,8 @@ def test_kneser_ney_is_a_distribution():
     where = np.zeros(8, dtype=np.int64)
     p = toxicity.KneserNey._interpolated(counts.astype(float), where, 1 / 8)
     assert abs(p.sum() - 1) < 1e-12
-    model = toxicity.KneserNey(keys, counts * 100, counts[::-1] * 100)
-    assert model.evidence(keys)[-1] > 0 > model.evidence(keys)[0]
+    model = toxicity.KneserNey(keys, counts**3 * 100, counts[::-1] ** 3 * 100)
+    assert model.evidence(keys)[-1] > 0 > model.evidence(keys)[0] and model.evidence(keys)[3] == 0
     assert toxicity.KneserNey(keys[:0], counts[:0], counts[:0]).evidence(keys).tolist() == [0.0] * 8
 
 
