@@ -64,8 +64,11 @@ def features(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def intensity_variance(pairs: DataFrame, points: DataFrame, column: str = "intensity") -> DataFrame:
-    """(cloud, qid, ivar): variance of the neighbours' intensity, with divisor n + 1e-8."""
-    met = pairs.select(CLOUD, "qid", "nid").join(points.select(CLOUD, F.col("pid").alias("nid"), F.col(column).alias("__i")), [CLOUD, "nid"])
+    """(cloud, qid, ivar): variance of the neighbours' intensity, with divisor n + 1e-8. Pairs that keep the column are not joined again."""
+    if column in pairs.columns:
+        met = pairs.select(CLOUD, "qid", F.col(column).alias("__i"))
+    else:
+        met = pairs.select(CLOUD, "qid", "nid").join(points.select(CLOUD, F.col("pid").alias("nid"), F.col(column).alias("__i")), [CLOUD, "nid"])
     return met.groupBy(CLOUD, "qid").agg((F.var_pop("__i") * F.count("*") / (F.count("*") + 1e-8)).alias("ivar"))
 
 

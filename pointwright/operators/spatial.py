@@ -30,11 +30,14 @@ def _around(queries: DataFrame, size: float) -> DataFrame:
     return q
 
 
-def radius_join(data: DataFrame, queries: DataFrame, radius: float, inclusive: bool = False) -> DataFrame:
-    """(cloud, qid, nid, dist) for every point of data nearer than the radius to a query of its cloud."""
-    p = _cells(data.select(CLOUD, F.col("pid").alias("nid"), *XYZ), radius)
+def radius_join(data: DataFrame, queries: DataFrame, radius: float, inclusive: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(cloud, qid, nid, dist) and the kept columns of data, for every point of data nearer than the radius to a query of its cloud.
+
+    Keeping a column saves the join of all pairs with the points that would fetch it.
+    """
+    p = _cells(data.select(CLOUD, F.col("pid").alias("nid"), *XYZ, *[c for c in keep if c not in XYZ]), radius)
     met = _around(queries, radius).join(p, [CLOUD, *[f"__{c}" for c in XYZ]])
-    met = met.select(CLOUD, "qid", "nid", distance([F.col(c) for c in XYZ], [F.col(f"q{c}") for c in XYZ]).alias("dist"))
+    met = met.select(CLOUD, "qid", "nid", distance([F.col(c) for c in XYZ], [F.col(f"q{c}") for c in XYZ]).alias("dist"), *keep)
     return met.where(F.col("dist") <= radius if inclusive else F.col("dist") < radius)
 
 

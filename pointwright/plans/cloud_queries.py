@@ -322,7 +322,7 @@ def a3(spark, sf):
 @query("a4_intensity_variance", f"WITH {EVENTS}, n AS (SELECT * FROM ({_near('ev', 'abs(q.x - d.x) < 0.35 AND abs(q.y - d.y) < 0.35')}) WHERE dist < 0.35) SELECT n.cloud, qid, round(var_pop(intensity) * count(*) / (count(*) + 1e-8), 4) AS ivar FROM n JOIN ev ON ev.cloud = n.cloud AND ev.pid = n.nid GROUP BY ALL")
 def a4(spark, sf):
     e = tables.intensity_cloud(spark, sf)
-    return geometry.intensity_variance(spatial.radius_join(e, e, 0.35), e).select("cloud", "qid", F.round("ivar", 4).alias("ivar"))
+    return geometry.intensity_variance(spatial.radius_join(e, e, 0.35, keep=("intensity",)), e).select("cloud", "qid", F.round("ivar", 4).alias("ivar"))
 
 
 @query("a5_covariance_nine", f"WITH {VKNN}, c AS (SELECT qid, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM ranked JOIN vec ON vec.pid = nid WHERE k <= 12 GROUP BY qid) SELECT qid, round(xx, 6) + 0.0 AS c0, round(xy, 6) + 0.0 AS c1, round(xz, 6) + 0.0 AS c2, round(xy, 6) + 0.0 AS c3, round(yy, 6) + 0.0 AS c4, round(yz, 6) + 0.0 AS c5, round(xz, 6) + 0.0 AS c6, round(yz, 6) + 0.0 AS c7, round(zz, 6) + 0.0 AS c8 FROM c")
