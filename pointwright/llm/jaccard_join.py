@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .packed import SCHEMA, deal, pack, parts_for, rows, split_by, unpack
-from .substring_dedup import _tag, part_of_ids, prime_from, ranges, spans_hash
+from .packed import SCHEMA, deal, frugal, pack, parts_for, rows, split_by, unpack
+from .substring_dedup import PART_BYTES, _tag, part_of_ids, prime_from, ranges, spans_hash
 from .words import U, Words, grams, inside, mix64, steps
 from .work import written
 
 WORDS, PERCENT = 5, 75
 HOT, LOCAL_HOT = 65535, 64
-HELD = 1 << 20
-FEW, REPRESENTATIVES, CHUNK, LEADERS, BLOCK = 8, 2, 256, 64, 1024
+HELD = 1 << 19
+FEW, REPRESENTATIVES, CHUNK, LEADERS, BLOCK, SPREAD = 8, 2, 256, 64, 1024, 32
 SALTS = mix64(np.arange(1, 4, dtype=U))
 COUNT, HOTS, PASS, INFO = 0, 1, 2, 3
 
@@ -149,7 +149,7 @@ def shared_shingles(docs: DataFrame, n: int, k: int) -> DataFrame:
                 at = keep[order[cut[p] : cut[p + 1]]]
                 yield rows([p], [pack(_tag(PASS), np.diff(d[at], prepend=np.int64(0)), rank[where[at]], *_narrow(h[at]))])
 
-    return deal(deal(docs.mapInArrow(count, SCHEMA), n).mapInArrow(weigh, SCHEMA), n)
+    return deal(deal(docs.mapInArrow(frugal(count), SCHEMA), n).mapInArrow(frugal(weigh), SCHEMA), n)
 
 
 SETS = "doc_id long, n long, own long, m int, node long, keys array<long>, r array<long>"
@@ -204,7 +204,7 @@ def assemble(packed: DataFrame, percent: int) -> DataFrame:
             k = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * (b - a) + 1, 3, dtype=np.int32)), pa.array(keys[a:b].ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(doc[a:b]), pa.array(n[a:b]), pa.array(own[a:b]), pa.array(np.maximum(m[a:b], 0).astype(np.int32)), pa.array(node[a:b], mask=~use), k, r], names=["doc_id", "n", "own", "m", "node", "keys", "r"])
 
-    return packed.mapInArrow(build, SETS)
+    return packed.mapInArrow(frugal(build), SETS)
 
 
 def passes(inter: int, a: int, b: int, percent: int) -> bool:
@@ -213,9 +213,10 @@ def passes(inter: int, a: int, b: int, percent: int) -> bool:
 
 def lead(nodes: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) of nodes to leaders of their chunks, for minimum hashes that many nodes share."""
-    keyed = nodes.select("node", F.posexplode("keys").alias("i", "key"))
+    keyed = nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).alias("salt"), F.posexplode("keys").alias("i", "key"))
     many = keyed.groupBy("i", "key").agg(F.count("*").alias("c")).where(F.col("c") > FEW)
-    chunked = keyed.join(many, ["i", "key"]).select("node", "i", "key", F.pmod(F.xxhash64("node", "i"), F.ceil(F.col("c") / CHUNK)).alias("chunk"))
+    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))  # a hash that a large group shares is many join keys
+    chunked = keyed.join(many, ["i", "key", "salt"]).select("node", "i", "key", F.pmod(F.xxhash64("node", "i"), F.ceil(F.col("c") / CHUNK)).alias("chunk"))
     met = chunked.join(nodes.select("node", "n", "r"), "node")
     met = met.repartition(F.col("key"), F.col("chunk")).sortWithinPartitions("i", "key", "chunk", "n", "node").select("i", "key", "chunk", "node", "n", "r")
 
@@ -239,7 +240,7 @@ def lead(nodes: DataFrame, percent: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(link, "a long, b long")
+    return met.mapInArrow(frugal(link), "a long, b long")
 
 
 def candidates(groups: DataFrame, percent: int, brief: bool = False) -> DataFrame:
@@ -315,7 +316,7 @@ def candidates(groups: DataFrame, percent: int, brief: bool = False) -> DataFram
         if out:
             yield emit()
 
-    return met.mapInArrow(run, "g long, h long").distinct()
+    return met.mapInArrow(frugal(run), "g long, h long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -333,7 +334,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int =
     null id are not returned; rows that share an id are one document whose set is the union.
     Other columns are ignored. component_id is the smallest id reachable by links.
     """
-    n = prime_from(parts_for(df))
+    n = prime_from(parts_for(df, PART_BYTES))
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = written(assemble(shared_shingles(docs, n, words), percent), "sets")
     alone = sets.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

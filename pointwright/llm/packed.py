@@ -5,7 +5,9 @@ A mapper gives rows (part int, blob binary); deal() brings each part to a task o
 
 from __future__ import annotations
 
+import functools
 import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import release
+
 SCHEMA = "part int, blob binary"
 ARROW = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
@@ -60,6 +64,12 @@ def deal(df: DataFrame, n: int) -> DataFrame:
     return df.repartitionById(n, F.col("part"))
 
 
-def varint_deltas(sorted_ids: np.ndarray) -> np.ndarray:
-    """Differences of ascending ids: small numbers, which compress well."""
-    return np.diff(sorted_ids, prepend=np.int64(0))
+def frugal(f: Callable) -> Callable:
+    """A mapper that gives its memory back when its task ends."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run

@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton, spans_above
-from .packed import SCHEMA, deal, pack, parts_for, rows, split_by, unpack
+from .packed import SCHEMA, deal, frugal, pack, parts_for, rows, split_by, unpack
 from .words import U, Words, grams, inside, mix64, powers, steps
 
 LENGTH, GRAM = 13, 5
 HOT, LOCAL_HOT = 256, 16
 #: Anchors that a mapper holds before it packs them.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Input bytes of a part: what a task holds of texts, anchors or segments is in proportion.
 PART_BYTES = 4 << 20
 LOW48 = U((1 << 48) - 1)
@@ -203,8 +203,8 @@ def mark(docs: DataFrame, n: int, length: int, gram: int) -> DataFrame:
                 at = keep[order[cut[p] : cut[p + 1]]]
                 yield rows([p], [pack(d[at], a[at], hot[where[at]].astype(np.uint8))])
 
-    counted = docs.select("doc_id", "text").mapInArrow(count, SCHEMA)
-    return deal(counted, n).mapInArrow(repeated, SCHEMA)
+    counted = docs.select("doc_id", "text").mapInArrow(frugal(count), SCHEMA)
+    return deal(counted, n).mapInArrow(frugal(repeated), SCHEMA)
 
 
 def _gathered(table: pa.Table, kinds: tuple) -> list[np.ndarray]:
@@ -290,7 +290,7 @@ def match(docs: DataFrame, flags: DataFrame, n: int, length: int, gram: int) ->
             yield from shard(*(np.concatenate(h) for h in held), length=length, n=n)
 
     sent = docs.select("doc_id", "text", "th", "part").groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(send, SCHEMA)
-    return deal(sent, n).mapInArrow(meet, SCHEMA)
+    return deal(sent, n).mapInArrow(frugal(meet), SCHEMA)
 
 
 def shard(text: np.ndarray, size: np.ndarray, route: np.ndarray, doc: np.ndarray, each: np.ndarray, th: np.ndarray, start: np.ndarray, *, length: int, n: int) -> Iterator[pa.RecordBatch]:

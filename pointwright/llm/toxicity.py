@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import SCHEMA, deal, pack, rows, split_by, unpack
+from .packed import SCHEMA, deal, frugal, pack, rows, split_by, unpack
 from .substring_dedup import join_words
 from .words import U, Words, mix64, steps
 
@@ -102,7 +102,7 @@ def ngram_counts(learning: DataFrame) -> DataFrame:
             k, t, o = _sum(held)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(t), pa.array(o)], names=["key", "toxic", "ordinary"])
 
-    return deal(learning.select("text", "toxic").mapInArrow(count, SCHEMA), n).mapInArrow(add, "key long, toxic long, ordinary long")
+    return deal(learning.select("text", "toxic").mapInArrow(frugal(count), SCHEMA), n).mapInArrow(frugal(add), "key long, toxic long, ordinary long")
 
 
 def _sum(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
