@@ -3,17 +3,19 @@
 Two models of the bytes of lower-cased words, one of toxic and one of ordinary texts, of order
 ORDER and with a word's white space as its context's start. The highest order has the counts of
 its class, backed off (with a prior of STRENGTH counts) to a Kneser-Ney model of both classes'
-counts, whose lower orders are continuation counts. An expression too rare in the corpus to tell
-the classes apart (its counts lie within CLEAR standard deviations of the shared split, or its
-rates in the classes are less than TIMES apart) has the shared counts in both models, so it is no
-evidence. A word counts once in a text. A text's
-evidence is its toxic minus its ordinary log-likelihood, by its length and by the root of its
-length; a logistic curve turns both into a score.
-
-Counting covers every learning row: each mapper counts its distinct words once and sums their
-n-grams (the bytes of an n-gram are its key), packed by the hash of the n-gram. The model
-keeps n-grams of at least RARE of all counts, so it has at most 1/RARE of them at any size of
-the corpus; that is what is broadcast. Scoring is row-local and evaluates distinct words.
+counts, whose lower orders are continuation counts. An n-gram that was never counted is scored
+by what its context's models leave to the shared one; where the context too is new, both models
+are the shared one. Beside that full evidence there is the clear evidence, of the n-grams alone
+whose classes are far apart (counts beyond CLEAR standard deviations of the shared split, and
+rates at least TIMES apart). A word counts once in a text. A text's evidence of either kind is
+its toxic minus its ordinary log-likelihood, by its length and by the root of its length; a
+logistic curve turns the four into a score.
+
+Each mapper counts its distinct words once and sums their n-grams (the bytes of an n-gram are
+its key), packed by the hash of the n-gram. Every counted n-gram is kept, with its shared
+lower-order probability, in a table dealt by the hash of its context; nothing of it is broadcast
+or collected. Texts travel as their distinct words, in chunks by a hash of the row; a chunk asks
+each part of the table for its distinct n-grams and is scored with the answers.
 """
 
 from __future__ import annotations
@@ -22,17 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packed import SCHEMA, deal, frugal, pack, rows, split_by, unpack
 from .substring_dedup import join_words
-from .words import U, Words, mix64, steps
+from .words import U, Words, mix64, release, steps
+from .work import written
 
-ORDER, DISCOUNT, STRENGTH, RARE, CLEAR, TIMES = 5, 0.75, 1.0, 5e-7, 6.0, 8.0
+ORDER, DISCOUNT, STRENGTH, CLEAR, TIMES = 5, 0.75, 1.0, 6.0, 8.0
+FEATURES = ("evidence", "by_root", "clear", "clear_by_root")
 #: Rows that the score's curve is fitted on, at most (about; chosen by a hash of the id).
 FIT_ROWS = 20_000
 HELD = 1 << 21
+#: Bytes of text that a chunk holds, about.
+CHUNK_BYTES = 8 << 20
+#: Spreads contexts (32 bits) over the parts of the table; their product has 63 bits.
+SPREAD = 1640531527
 
 
 def word_grams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,24 +120,31 @@ def _sum(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class KneserNey:
-    """Log-likelihood ratios of the n-grams whose class counts differ; all others are scored alike by both models."""
+    """Log-likelihood ratios of n-grams by their last byte; the n-grams of a context stand together.
 
-    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> None:
+    `lower` has each n-gram's shared probability of the next lower order, and `totals` the counts
+    of both classes, where the n-grams are only a part of the model's.
+    """
+
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, lower: np.ndarray | None = None, totals: tuple[float, float] | None = None) -> None:
         order = np.argsort(keys)
         self.keys, counts = keys[order], (toxic[order].astype(float), ordinary[order].astype(float))
-        context, where = np.unique(self.keys >> U(8), return_inverse=True)
-        shared = self._interpolated(counts[0] + counts[1], where, self._lower())
-        logs = []
+        self.context, where = np.unique(self.keys >> U(8), return_inverse=True)
+        shared = self._interpolated(counts[0] + counts[1], where, self._lower() if lower is None else lower[order])
+        logs, left = [], []
         for c in counts:
-            total, kinds = np.bincount(where, weights=c, minlength=len(context)), np.bincount(where, weights=c > 0, minlength=len(context))
+            total, kinds = np.bincount(where, weights=c, minlength=len(self.context)), np.bincount(where, weights=c > 0, minlength=len(self.context))
             back = (STRENGTH + DISCOUNT * kinds) / (STRENGTH + total)
             logs.append(np.log(np.maximum(c - DISCOUNT, 0) / (STRENGTH + total[where]) + back[where] * shared))
+            left.append(np.log(back))
+        self.ratio, self.unseen = logs[0] - logs[1], left[0] - left[1]
         both = counts[0] + counts[1]
-        share = counts[0].sum() / max(1.0, both.sum())
+        sums = totals or (counts[0].sum(), counts[1].sum())
+        share = sums[0] / max(1.0, sums[0] + sums[1])
         far = np.abs(counts[0] - share * both) >= CLEAR * np.sqrt(share * (1 - share) * both + 1e-12)
-        odds = np.log((counts[0] + 0.5) / (counts[1] + 0.5)) - np.log((counts[0].sum() + 0.5) / (counts[1].sum() + 0.5))
+        odds = np.log((counts[0] + 0.5) / (counts[1] + 0.5)) - np.log((sums[0] + 0.5) / (sums[1] + 0.5))
         far &= np.abs(odds) >= np.log(TIMES)
-        self.keys, self.ratio = self.keys[far], (logs[0] - logs[1])[far]
+        self.clear = np.where(far, self.ratio, 0.0)
 
     @staticmethod
     def _interpolated(c: np.ndarray, where: np.ndarray, lower: np.ndarray | float) -> np.ndarray:
@@ -151,40 +166,125 @@ class KneserNey:
         return p[np.searchsorted(below, self.keys & U((1 << 8 * (ORDER - 1)) - 1))]
 
     def evidence(self, keys: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio of each n-gram's last byte."""
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ratio[at], 0.0)
-
-    def evidence_of(self, column: pa.Array) -> np.ndarray:
-        """Each text's toxic minus ordinary log-likelihood over its distinct words, by their bytes and by the root of these; zeros without words."""
-        w = Words(column, lower=True)
-        n = len(w.counts)
-        if not len(w):
-            return np.zeros((n, 2))
-        first, where, doc = once_per_text(w)
-        keys, word = word_grams(w, first)
-        each = np.bincount(word, weights=self.evidence(keys), minlength=len(first))
-        size = (w.end - w.start + 1)[first].astype(float)
-        total = np.bincount(doc, weights=each[where], minlength=n)
-        length = np.maximum(np.bincount(doc, weights=size[where], minlength=n), 1)
-        return np.stack((total / length, total / np.sqrt(length)), axis=1)
+        """Log-likelihood ratio of each n-gram's last byte, where its classes are far apart."""
+        return _looked_up(self.keys, self.clear, keys, 0.0)
+
+    def full_evidence(self, keys: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio of each n-gram's last byte; of unseen ones, what the models of their context leave to the shared one."""
+        return _looked_up(self.keys, self.ratio, keys, _looked_up(self.context, self.unseen, keys >> U(8), 0.0))
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted)) + other
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], other)
+
+
+def _lower_orders(counted: DataFrame) -> DataFrame:
+    """(g, lower): the shared probability of the last byte of each (ORDER - 1)-gram, from continuation counts."""
+    levels, g = [], counted.select(F.col("key").alias("g"))
+    for k in range(ORDER - 1, 0, -1):
+        g = g.groupBy(_last("g", k).alias("g")).agg(F.count(F.lit(1)).alias("c"))  # left neighbours of each k-gram
+        levels.append((k, g))
+    below = None
+    for k, g in reversed(levels):
+        g = g.withColumn("base", F.lit(1 / 256)) if below is None else g.join(below.select(F.col("g").alias("of"), F.col("lower").alias("base")), _last("g", k - 1) == F.col("of")).drop("of")
+        context = Window.partitionBy(F.shiftright("g", 8))
+        p = (F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.count(F.lit(1)).over(context) * F.col("base")) / F.sum("c").over(context)
+        below = g.select("g", p.alias("lower"))
+    return below
+
+
+def _part(keys: np.ndarray, n: int) -> np.ndarray:
+    """The part of the table that has these n-grams' contexts (Model says the same in columns)."""
+    return ((keys >> 8) * SPREAD >> 15) % n
+
+
+def _last(g: str, k: int) -> Column:
+    """The last k bytes of an n-gram."""
+    return F.col(g).bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
+
+
+class Model:
+    """The table of all counted n-grams (part, key, toxic, ordinary, lower) in `parts` parts by context, and the counts of both classes."""
+
+    def __init__(self, counted: DataFrame) -> None:
+        self.parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lower = _lower_orders(counted)
+        part = F.pmod(F.shiftright(F.shiftright("key", 8) * F.lit(SPREAD).cast("long"), 15), F.lit(self.parts)).cast("int").alias("part")
+        self.table = written(counted.join(lower, _last("key", ORDER - 1) == F.col("g")).select(part, "key", "toxic", "ordinary", "lower"), "ngrams")
+        sums = self.table.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).first()
+        self.totals = float(sums.toxic or 0), float(sums.ordinary or 0)
+
+    def answers(self, asked: DataFrame) -> DataFrame:
+        """(__chunk, blob of keys, full and clear evidence) for the rows (part, __chunk, blob of keys)."""
+        totals = self.totals
+
+        def answer(table: pa.Table, asking: pa.Table) -> pa.Table:
+            model = KneserNey(table["key"].to_numpy().view(U), table["toxic"].to_numpy(), table["ordinary"].to_numpy(), table["lower"].to_numpy(), totals)
+            blobs = []
+            for blob in asking["blob"].to_pylist():
+                (keys,) = unpack(blob)
+                blobs.append(pack(keys, model.full_evidence(keys), model.evidence(keys)))
+            out = pa.Table.from_arrays([asking["__chunk"], pa.array(blobs, pa.binary())], names=["__chunk", "blob"])
+            release()
+            return out
+
+        return self.table.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "__chunk long, blob binary")
 
 
-def learn(learning: DataFrame) -> KneserNey:
+def learn(learning: DataFrame) -> Model:
     """The models of rows (text, toxic 0/1)."""
-    counted = ngram_counts(learning).persist()
-    total = counted.agg(F.sum(F.col("toxic") + F.col("ordinary")).alias("n")).first().n or 0
-    kept = counted.where(F.col("toxic") + F.col("ordinary") >= RARE * total).toPandas()  # at most 1 / RARE rows
-    counted.unpersist()
-    return KneserNey(kept.key.to_numpy(dtype=np.int64).view(U), kept.toxic.to_numpy(dtype=np.int64), kept.ordinary.to_numpy(dtype=np.int64))
+    return Model(written(ngram_counts(learning), "counts"))
+
+
+def bags(df: DataFrame, text: str) -> DataFrame:
+    """The rows with, in place of the text, its distinct lower-cased words, a space after each: all that counts and evidence read of it."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for table in steps(batch, text):
+                w = Words(table.column(text).combine_chunks(), lower=True)
+                off, body = np.zeros(table.num_rows + 1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+                if len(w):
+                    first, where, doc = once_per_text(w)
+                    body, ends = join_words(w, first[where])
+                    off = ends[np.searchsorted(doc, np.arange(table.num_rows + 1))]
+                bag = pa.LargeStringArray.from_buffers(table.num_rows, pa.py_buffer(np.ascontiguousarray(off)), pa.py_buffer(np.ascontiguousarray(body)))
+                at = table.schema.get_field_index(text)
+                yield from table.set_column(at, text, bag.cast(pa.string())).to_batches()
+
+    return df.mapInArrow(frugal(run), fields)
+
+
+def _asked(dealt: DataFrame, n: int) -> DataFrame:
+    """(part, __chunk, blob): each chunk's distinct n-grams, by the part of the table (of n) that has their context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            chunk = batch.column("__chunk").to_numpy()
+            for c in np.unique(chunk).tolist():
+                for table in steps(batch.filter(pa.array(chunk == c)), "__bag"):
+                    w = Words(table.column("__bag").combine_chunks())
+                    if len(w):
+                        first = np.unique(w.hashes(), return_index=True)[1]
+                        held[c] = np.unique(np.concatenate((held.get(c, np.zeros(0, dtype=U)), word_grams(w, first)[0])))
+        for c, keys in held.items():
+            order, cut = split_by(_part(keys.view(np.int64), n), n)
+            parts = np.flatnonzero(np.diff(cut)).tolist()
+            blobs = [pack(np.sort(keys[order[cut[p] : cut[p + 1]]])) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([c] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "__chunk", "blob"])
+
+    return dealt.mapInArrow(frugal(run), "part int, __chunk long, blob binary")
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Slopes and offset of the logistic curve of y on the columns of x (ridge-stabilised Newton steps on the scaled columns)."""
     if len(np.unique(y)) < 2:
-        return np.zeros(2), 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+        return np.zeros(x.shape[1]), 0.0 if not len(y) else (4.0 if y[0] else -4.0)
     scale = np.maximum(1e-9, x.std(axis=0))
     m = np.column_stack((x / scale, np.ones(len(x))))
     b = np.zeros(m.shape[1])
@@ -199,21 +299,44 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return b[:-1] / scale, float(b[-1])
 
 
-def scored(df: DataFrame, model: KneserNey, a: np.ndarray, b: float, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, evidence (by length and by its root), score and the kept columns of every row; null text counts as empty."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    df = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("__text"), *keep)
-    fields = ", ".join(["doc_id " + df.schema["doc_id"].dataType.simpleString(), "evidence double", "by_root double", "score double", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)])
+def _evidence_of(column: pa.Array, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """FEATURES of each text (as its distinct words) by the two values of each n-gram; zeros without words."""
+    w = Words(column)
+    n = len(w.counts)
+    if not len(w):
+        return np.zeros((n, len(FEATURES)))
+    first, where, doc = once_per_text(w)
+    grams, word = word_grams(w, first)
+    size = (w.end - w.start + 1)[first].astype(float)
+    length = np.maximum(np.bincount(doc, weights=size[where], minlength=n), 1)
+    out = []
+    for v in values:
+        each = np.bincount(word, weights=_looked_up(keys, v, grams, 0.0), minlength=len(first))
+        total = np.bincount(doc, weights=each[where], minlength=n)
+        out += [total / length, total / np.sqrt(length)]
+    return np.stack(out, axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for table in steps(batch, "__text"):
-                x = m.evidence_of(table.column("__text").combine_chunks())
-                score = 1 / (1 + np.exp(-np.clip(x @ a + b, -700, 700)))
-                yield from pa.Table.from_arrays([table.column("doc_id"), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(score), *(table.column(c) for c in keep)], names=["doc_id", "evidence", "by_root", "score", *keep]).to_batches()
 
-    return df.mapInArrow(run, fields)
+def scored(df: DataFrame, model: Model, a: np.ndarray, b: float, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), chunks: int | None = None) -> DataFrame:
+    """doc_id, FEATURES, score and the kept columns of every row; null text counts as empty."""
+    chunks = chunks or model.parts
+    df = df.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(chunks)).alias("__chunk"), F.col(text).alias("__bag"), *keep)
+    fields = ", ".join(["doc_id " + df.schema["doc_id"].dataType.simpleString(), *(f"{f} double" for f in FEATURES), "score double", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)])
+
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        got = [unpack(blob) for blob in answers["blob"].to_pylist()]
+        keys, full, clear = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, dtype=U), np.zeros(0), np.zeros(0))
+        order = np.argsort(keys)
+        keys, values = keys[order], np.stack((full[order], clear[order]))
+        x = np.concatenate([np.zeros((0, len(FEATURES))), *(_evidence_of(t.column("__bag").combine_chunks(), keys, values) for t in steps(docs, "__bag"))])
+        p = 1 / (1 + np.exp(-np.clip(x @ a + b, -700, 700)))
+        out = pa.Table.from_arrays([docs["doc_id"], *(pa.array(c) for c in x.T.copy()), pa.array(p), *(docs[c] for c in keep)], names=["doc_id", *FEATURES, "score", *keep])
+        release()
+        return out
+
+    dealt = bags(df, "__bag").repartition(chunks, "__chunk")
+    answers = model.answers(_asked(dealt, model.parts))
+    return dealt.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(score, fields)
 
 
 def fold(id_col, n: int):
@@ -231,13 +354,14 @@ def classify(df: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0
     kind's. Null and empty text have no evidence. Repeated rows each get their row.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("__id"), "toxic", fold(F.col(id_col), folds).alias("__fold")).where(F.col("__fold") != held_out)
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).where(fold(F.col("__id"), folds) != held_out)
+    texts = bags(df.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).where(fold(F.col("__id"), folds) != held_out), "text")
     learning = texts.hint("merge").join(known, "__id").select("__id", "text", "toxic", "__fold")
     tuning = (held_out + 1) % folds
     model = learn(learning.where(F.col("__fold") != tuning))
     rows_ = known.where(F.col("__fold") == tuning).count()
     few = learning.where(F.col("__fold") == tuning).where(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(1, rows_))))
-    fit = scored(few, model, np.zeros(2), 0.0, "__id", "text", ("toxic",)).select("evidence", "by_root", "toxic").toPandas()
-    a, b = curve(fit[["evidence", "by_root"]].to_numpy(dtype=float), fit.toxic.to_numpy(dtype=float))
-    out = scored(df, model, a, b, id_col, text, keep)
+    fit = scored(few, model, np.zeros(len(FEATURES)), 0.0, "__id", "text", ("toxic",)).select(*FEATURES, "toxic").toPandas()
+    a, b = curve(fit[list(FEATURES)].to_numpy(dtype=float), fit.toxic.to_numpy(dtype=float))
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    out = scored(df, model, a, b, id_col, text, keep, max(model.parts, -(-size // CHUNK_BYTES)))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)

@@ -61,6 +61,32 @@ def test_kneser_ney_is_a_distribution():
     assert toxicity.KneserNey(keys[:0], counts[:0], counts[:0]).evidence(keys).tolist() == [0.0] * 8
 
 
+def test_rare_and_unseen_ngrams_are_evidence():
+    """Of 40 n-grams of one toxic and one ordinary context each counted once, none is dropped; an unseen one gets its context's backoff."""
+    keys = np.array([int.from_bytes(b"vile" + bytes([c]), "big") for c in range(97, 117)] + [int.from_bytes(b"good" + bytes([c]), "big") for c in range(97, 117)], dtype=np.uint64)
+    toxic = np.repeat([1, 0], 20)
+    model = toxicity.KneserNey(keys, toxic, 1 - toxic)
+    unseen = np.array([int.from_bytes(x, "big") for x in (b"vilez", b"goodz", b"newxz")], dtype=np.uint64)
+    got = model.full_evidence(np.concatenate((keys, unseen)))
+    assert (got[:20] > 0).all() and (got[20:40] < 0).all() and got[40] != 0 and got[41] == -got[40] and got[42] == 0
+
+
+def test_the_table_of_ngrams_is_the_model_of_all_counts(spark):
+    """Every counted n-gram stands in the dealt table, whatever its share of the corpus, with the lower orders of the whole model."""
+    common = " ".join(f"w{i}" for i in range(300))
+    texts = [(f"{common} once{i}x", int(i == 3)) for i in range(40)] + [("rarevile", 1)]
+    learning = spark.createDataFrame(texts, "text string, toxic int")
+    model = toxicity.learn(learning)
+    table = model.table.toPandas().sort_values("key")
+    words_ = {w for t, _ in texts for w in t.split()}
+    assert set(table.key) == {int.from_bytes(p[i : i + 5], "big") for p in (b"    " + w.encode() + b" " for w in words_) for i in range(len(p) - 4)}
+    whole = toxicity.KneserNey(table.key.to_numpy().view(np.uint64), table.toxic.to_numpy(), table.ordinary.to_numpy())
+    assert np.allclose(table.lower, whole._lower())
+    x = toxicity.scored(spark.createDataFrame([(1, "rarevile"), (2, None), (3, "w1 w2")], "doc_id long, text string"), model, np.zeros(4), 0.0).toPandas().set_index("doc_id")
+    keys = np.array([int.from_bytes(b"    rarevile "[i : i + 5], "big") for i in range(9)], dtype=np.uint64)
+    assert abs(x.evidence[1] - whole.full_evidence(keys).sum() / 9) < 1e-9 and x.evidence[1] > 0 and x.evidence[2] == 0 > x.evidence[3]
+
+
 def test_quality_on_held_out_rows(labelled):
     df, labels = labelled
     scored = quality.classify(df, labels)
