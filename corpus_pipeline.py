@@ -48,8 +48,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of the texts, with the digest of the text that they decode to."""
-    return sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "decoded_sha256"))
+    """SentencePiece ids of the texts, with the digests of the text that they decode to and of the pieces' byte spans."""
+    return sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "decoded_sha256", "spans_sha256"))
 
 
 def _stage(f):

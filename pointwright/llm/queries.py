@@ -99,7 +99,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return sentencepiece_codec.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

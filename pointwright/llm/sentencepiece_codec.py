@@ -116,20 +116,23 @@ class Codec:
         first = at[:1] if len(at) else source[-1:]
         return head + out.tobytes(), np.concatenate((np.repeat(first, len(head)), np.repeat(at, wide), source[-1:]))
 
-    def spans(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
-        """Byte span [begin, end) of the original text for each id; an unknown piece takes one character."""
+    def bounds(self, text: str, ids: list[int]) -> np.ndarray:
+        """Byte span [begin, end) of the original text for each id, a row each; an unknown piece takes one character."""
         seen, source = self.aligned(text)
-        out, at = [], 0
-        for i in ids:
-            n = self.lengths[i]
-            if n < 0:
-                n = 1
-                while at + n < len(seen) and seen[at + n] & 0xC0 == 0x80:
-                    n += 1
-            end = min(at + int(n), len(seen))
-            out.append((int(source[at]), int(max(source[at], source[end]))))
-            at = end
-        return out
+        lengths = self.lengths[np.asarray(ids, dtype=np.int64)]
+        at = done = 0
+        for k in np.flatnonzero(lengths < 0).tolist():
+            at, n, done = at + int(lengths[done:k].sum()), 1, k
+            while at + n < len(seen) and seen[at + n] & 0xC0 == 0x80:
+                n += 1
+            lengths[k] = n
+        ends = np.minimum(np.concatenate(([0], np.cumsum(lengths))), len(seen))
+        begin = source[ends[:-1]]
+        return np.stack((begin, np.maximum(begin, source[ends[1:]])), axis=1)
+
+    def spans(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
+        """bounds() as pairs."""
+        return [(b, e) for b, e in self.bounds(text, ids).tolist()]
 
 
 _codecs: dict[str, Codec] = {}
@@ -149,6 +152,7 @@ OUTPUTS = {
     "decoded": (T.StringType(), pa.string()),
     "ids_sha256": (T.StringType(), pa.string()),
     "decoded_sha256": (T.StringType(), pa.string()),
+    "spans_sha256": (T.StringType(), pa.string()),
 }
 
 
@@ -156,7 +160,8 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
     """Rows with the kept columns and the chosen outputs of encoding `text` with the model file.
 
     outputs: any of n_tokens, ids, spans (begin and end byte of each piece in the text), decoded,
-    and the SHA-256 of the comma-joined decimal ids and of the decoded text. Null text counts as
+    and the SHA-256 of the comma-joined decimal ids, of the decoded text and of the spans (begin,
+    end, begin, .. as little-endian 64-bit integers). Null text counts as
     empty: no ids, decoded "". Repeated rows each give their row; other columns of the input are
     dropped; a kept column may not have an output's name.
     """
@@ -176,6 +181,7 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
                     decoded = c.decode(ids)
                     made |= {"decoded": lambda: decoded, "decoded_sha256": lambda: [hashlib.sha256(x.encode()).hexdigest() for x in decoded]}
                 made["ids_sha256"] = lambda: [hashlib.sha256(",".join([c.decimal[i] for i in x]).encode()).hexdigest() for x in ids]
+                made["spans_sha256"] = lambda: [hashlib.sha256(c.bounds(t, x).astype("<i8").tobytes()).hexdigest() for t, x in zip(texts, ids, strict=True)]
                 columns = [table.column(k).combine_chunks() for k in keep] + [pa.array(made[k](), OUTPUTS[k][1]) for k in outputs]
                 yield from pa.Table.from_arrays(columns, names=[*keep, *outputs]).to_batches()
 

@@ -9,10 +9,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from pointwright.llm import fingerprints, license_scan, queries, sentencepiece_codec, token_files
 from pointwright.llm.words import Words
 
-from .conftest import DOCS, odd_rows, words
+from .conftest import DOCS, SMALL, odd_rows, words
 
 BPE, PIECES = queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("piece_bpe_32k.model")
 TEXTS = st.lists(st.text(alphabet=st.sampled_from(list("ab Z'.7\n\t\r 　é日🙂\u0085 <|")), max_size=30), max_size=8)
@@ -99,6 +100,19 @@ def test_piece_spans_cover_the_text(text):
     assert b"".join(raw[a:b] for a, b in spans) == raw  # the identity map: pieces tile the source
 
 
+def test_the_query_and_the_pipeline_take_spans(spark, odd):
+    """Their digests are of spans that cover each text from end to end."""
+    c = sentencepiece_codec.codec(PIECES)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    want = {}
+    for i, t in texts.items():
+        spans = c.spans(t, c.encode([t])[0])
+        assert b"".join(t.encode()[a:b] for a, b in spans) == t.encode()
+        want[i] = hashlib.sha256(b"".join(x.to_bytes(8, "little") for pair in spans for x in pair)).hexdigest()
+    assert {r.doc_id: r.spans_sha256 for r in queries.op8_sentencepiece(spark, SMALL).collect()} == want
+    assert "spans_sha256" in corpus_pipeline.encoded(spark, odd, SMALL).columns
+
+
 def trie(keys):
     """A double array for single-byte keys: byte -> offset of its replacement."""
     units = [0] * 1024
