@@ -347,9 +347,9 @@ def fold(id_col, n: int):
 def classify(df: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.5) of every row of df, and the kept columns.
 
-    Labels are used of rows whose fold of the id is not `held_out`: the models count all of these
-    but those of the next fold, on FIT_ROWS of which the curve is fitted, so that it is fitted on
-    texts the models have not seen. Labels that are null, or of ids with a null, teach nothing; an
+    Labels are used of rows whose fold of the id is not `held_out`. The curve is fitted on FIT_ROWS
+    of the next fold by models of the others, so on texts these have not seen; the final models
+    have the counts of all. Labels that are null, or of ids with a null, teach nothing; an
     id with several labels teaches each. Without labels of both kinds every score is 0.5 or that
     kind's. Null and empty text have no evidence. Repeated rows each get their row.
     """
@@ -357,11 +357,13 @@ def classify(df: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0
     texts = bags(df.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).where(fold(F.col("__id"), folds) != held_out), "text")
     learning = texts.hint("merge").join(known, "__id").select("__id", "text", "toxic", "__fold")
     tuning = (held_out + 1) % folds
-    model = learn(learning.where(F.col("__fold") != tuning))
+    rest, left_out = (written(ngram_counts(learning.where(c)), "counts") for c in (F.col("__fold") != tuning, F.col("__fold") == tuning))
+    model = Model(rest)
     rows_ = known.where(F.col("__fold") == tuning).count()
     few = learning.where(F.col("__fold") == tuning).where(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(1, rows_))))
     fit = scored(few, model, np.zeros(len(FEATURES)), 0.0, "__id", "text", ("toxic",)).select(*FEATURES, "toxic").toPandas()
     a, b = curve(fit[list(FEATURES)].to_numpy(dtype=float), fit.toxic.to_numpy(dtype=float))
+    model = Model(rest.union(left_out).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     out = scored(df, model, a, b, id_col, text, keep, max(model.parts, -(-size // CHUNK_BYTES)))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)

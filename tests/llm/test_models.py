@@ -50,6 +50,17 @@ def test_toxicity_learns_nothing_from_held_out_labels(labelled):
     assert one == two
 
 
+def test_toxicity_counts_the_tuning_fold(labelled, monkeypatch):
+    """An n-gram of one text of the tuning fold is in the final models' table, not in the calibration's."""
+    df, labels = labelled
+    i = next(i for i in range(600) if fold(i, 5) == 1)
+    models, made = [], toxicity.Model.__init__
+    monkeypatch.setattr(toxicity.Model, "__init__", lambda self, counted: (made(self, counted), models.append(self))[0])
+    toxicity.classify(df.withColumn("text", F.when(F.col("doc_id") == i, F.lit("zqxjk")).otherwise(F.col("text"))), labels)
+    key = int.from_bytes(b"zqxjk", "big")
+    assert [m.table.where(F.col("key") == key).count() for m in models] == [0, 1]
+
+
 def test_kneser_ney_is_a_distribution():
     keys = np.array([int.from_bytes(bytes(g), "big") for g in ((32, 32, 32, 32, c) for c in range(97, 105))], dtype=np.uint64)
     counts = np.arange(1, 9)
