@@ -2,20 +2,20 @@
 
 Two models of the bytes of lower-cased words, one of toxic and one of ordinary texts, of order
 ORDER and with a word's white space as its context's start. The highest order has the counts of
-its class, backed off (with a prior of STRENGTH counts) to a Kneser-Ney model of both classes'
-counts, whose lower orders are continuation counts. An n-gram that was never counted is scored
-by what its context's models leave to the shared one; where the context too is new, both models
-are the shared one. Beside that full evidence there is the clear evidence, of the n-grams alone
-whose classes are far apart (counts beyond CLEAR standard deviations of the shared split, and
-rates at least TIMES apart). A word counts once in a text. A text's evidence of either kind is
-its toxic minus its ordinary log-likelihood, by its length and by the root of its length; a
-logistic curve turns the four into a score.
+its class, less DISCOUNT, and backs off (with a prior of STRENGTH counts) to a Kneser-Ney model
+of both classes' counts, whose lower orders are continuation counts. An n-gram that was never
+counted is scored by what its context's models leave to the shared one; where the context too is
+new, both models are the shared one. Every word counts as often as it stands.
+
+A text's evidence is its toxic less its ordinary log-likelihood, by its length in bytes; its peak
+is the same of its most toxic word, so that a few expressions are not lost in a long text. A
+logistic curve of the two is the score.
 
 Each mapper counts its distinct words once and sums their n-grams (the bytes of an n-gram are
 its key), packed by the hash of the n-gram. Every counted n-gram is kept, with its shared
 lower-order probability, in a table dealt by the hash of its context; nothing of it is broadcast
-or collected. Texts travel as their distinct words, in chunks by a hash of the row; a chunk asks
-each part of the table for its distinct n-grams and is scored with the answers.
+or collected. Texts travel as their distinct words with their times, in chunks by a hash of the
+row; a chunk asks each part of the table for its distinct n-grams and is scored with the answers.
 """
 
 from __future__ import annotations
@@ -28,19 +28,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packed import SCHEMA, deal, frugal, pack, rows, split_by, unpack
-from .substring_dedup import join_words
+from .substring_dedup import join_words, ranges
 from .words import U, Words, mix64, release, steps
 from .work import written
 
-ORDER, DISCOUNT, STRENGTH, CLEAR, TIMES = 5, 0.75, 1.0, 6.0, 8.0
-FEATURES = ("evidence", "by_root", "clear", "clear_by_root")
+#: STRENGTH and the choice of FEATURES are of the tuning fold of the learning rows (classify).
+ORDER, DISCOUNT, STRENGTH = 5, 0.75, 16.0
+FEATURES = ("evidence", "peak")
 #: Rows that the score's curve is fitted on, at most (about; chosen by a hash of the id).
 FIT_ROWS = 20_000
-HELD = 1 << 21
+HELD = 1 << 20
 #: Bytes of text that a chunk holds, about.
 CHUNK_BYTES = 8 << 20
 #: Spreads contexts (32 bits) over the parts of the table; their product has 63 bits.
 SPREAD = 1640531527
+#: Counts of an n-gram: by class in the rows that the first models learn from, and in the tuning fold.
+COUNTS = ("toxic", "ordinary", "toxic_left", "ordinary_left")
 
 
 def word_grams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,76 +60,100 @@ def word_grams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[np.arange(len(text)) + pad * (word + 1)], word
 
 
-def once_per_text(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words (a place of each), and for every text's distinct words their number among these and the text: a repeated word is no new evidence."""
-    _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
-    pair = np.unique(w.doc * len(first) + where)
-    return first, pair % len(first), pair // len(first)
+def bags(df: DataFrame, text: str) -> DataFrame:
+    """The rows with, in place of the text, its distinct lower-cased words (a space after each, those that stand most often first) and __times, how often the words of several times stand: all that counts and evidence read of it."""
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "__times array<int>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for table in steps(batch, text):
+                w = Words(table.column(text).combine_chunks(), lower=True)
+                n = table.num_rows
+                off, body, several, times = np.zeros(n + 1, dtype=np.int64), np.zeros(0, dtype=np.uint8), np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int32)
+                if len(w):
+                    _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
+                    pair, count = np.unique(w.doc * len(first) + where, return_counts=True)
+                    doc, word = pair // len(first), pair % len(first)
+                    order = np.lexsort((word, -count, doc))
+                    body, ends = join_words(w, first[word[order]])
+                    off = ends[np.searchsorted(doc, np.arange(n + 1))]
+                    count = count[order]
+                    several, times = np.bincount(doc[order][count > 1], minlength=n), count[count > 1].astype(np.int32)
+                bag = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.ascontiguousarray(off)), pa.py_buffer(np.ascontiguousarray(body)))
+                times = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(several))).astype(np.int32)), pa.array(times))
+                table = table.set_column(table.schema.get_field_index(text), text, bag.cast(pa.string()))
+                yield from table.append_column("__times", times).to_batches()
+
+    return df.mapInArrow(frugal(run), fields)
+
+
+def read_bags(bag: pa.Array, times: pa.Array) -> tuple[Words, np.ndarray]:
+    """The words of bags and how often each stands."""
+    w = Words(bag)
+    if isinstance(times, pa.ChunkedArray):
+        times = times.combine_chunks()
+    out = np.ones(len(w))
+    size = np.diff(times.offsets.to_numpy())
+    out[ranges(w.first[:-1], size)] = times.flatten().to_numpy()
+    return w, out
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and the sums of their counts, a row each."""
+    keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+    distinct, where = np.unique(keys, return_inverse=True)
+    return distinct, np.stack([np.bincount(where, weights=c, minlength=len(distinct)) for c in counts.T], axis=1)
 
 
 def ngram_counts(learning: DataFrame) -> DataFrame:
-    """Packed (n-gram, toxic count, ordinary count) over rows (text, toxic)."""
+    """(key, COUNTS) of every n-gram of rows (text, __times, toxic, left): bags of texts, their class, and whether they are of the tuning fold."""
     n = int(learning.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a mapper's sums grow with the alphabet, not with its texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            k, t, o = (np.concatenate(x) for x in zip(*held, strict=True))
-            distinct, where = np.unique(k, return_inverse=True)
-            return distinct, np.bincount(where, weights=t), np.bincount(where, weights=o)
-
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            at = 0
             for table in steps(batch, "text"):
-                w = Words(table.column("text").combine_chunks(), lower=True)
-                mine = toxic[at : at + table.num_rows]
-                at += table.num_rows
+                w, times = read_bags(table.column("text").combine_chunks(), table.column("__times"))
                 if not len(w):
                     continue
-                first, where, doc = once_per_text(w)
-                t = np.bincount(where, weights=mine[doc], minlength=len(first))
-                o = np.bincount(where, minlength=len(first)) - t
+                kind = 2 * table.column("left").to_numpy().astype(np.int64) + 1 - table.column("toxic").to_numpy().astype(np.int64)
+                _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
+                sums = np.bincount(where * len(COUNTS) + kind[w.doc], weights=times, minlength=len(first) * len(COUNTS)).reshape(-1, len(COUNTS))
                 keys, word = word_grams(w, first)
-                held.append((keys, t[word], o[word]))
-                if sum(len(x[0]) for x in held) > HELD:
-                    held[:] = [merged()]
+                held.append(_summed([(keys, sums[word])]))
+                if sum(len(k) for k, _ in held) > HELD:
+                    held = [_summed(held)]
         if held:
-            k, t, o = merged()
-            order, cut = split_by(mix64(k) % U(n), n)
+            keys, sums = _summed(held)
+            order, cut = split_by(mix64(keys) % U(n), n)
             for p in np.flatnonzero(np.diff(cut)).tolist():
                 at = order[cut[p] : cut[p + 1]]
-                yield rows([p], [pack(k[at], t[at].astype(np.int64), o[at].astype(np.int64))])
+                yield rows([p], [pack(keys[at], *sums[at].T.astype(np.int64))])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                held.append(unpack(blob))
-                if sum(len(x[0]) for x in held) > HELD:
-                    held = [list(_sum(held))]
+                keys, *sums = unpack(blob)
+                held.append((keys, np.stack(sums, axis=1)))
+                if sum(len(k) for k, _ in held) > HELD:
+                    held = [_summed(held)]
         if held:
-            k, t, o = _sum(held)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(t), pa.array(o)], names=["key", "toxic", "ordinary"])
-
-    return deal(learning.select("text", "toxic").mapInArrow(frugal(count), SCHEMA), n).mapInArrow(frugal(add), "key long, toxic long, ordinary long")
-
+            keys, sums = _summed(held)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in sums.T)], names=["key", *COUNTS])
 
-def _sum(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k, t, o = (np.concatenate(x) for x in zip(*held, strict=True))
-    distinct, where = np.unique(k, return_inverse=True)
-    return distinct, np.bincount(where, weights=t).astype(np.int64), np.bincount(where, weights=o).astype(np.int64)
+    counted = deal(learning.select("text", "__times", "toxic", "left").mapInArrow(frugal(count), SCHEMA), n)
+    return counted.mapInArrow(frugal(add), "key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 class KneserNey:
     """Log-likelihood ratios of n-grams by their last byte; the n-grams of a context stand together.
 
-    `lower` has each n-gram's shared probability of the next lower order, and `totals` the counts
-    of both classes, where the n-grams are only a part of the model's.
+    `lower` has each n-gram's shared probability of the next lower order, where the n-grams are
+    only a part of the model's.
     """
 
-    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, lower: np.ndarray | None = None, totals: tuple[float, float] | None = None) -> None:
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, lower: np.ndarray | None = None) -> None:
         order = np.argsort(keys)
         self.keys, counts = keys[order], (toxic[order].astype(float), ordinary[order].astype(float))
         self.context, where = np.unique(self.keys >> U(8), return_inverse=True)
@@ -138,13 +165,6 @@ class KneserNey:
             logs.append(np.log(np.maximum(c - DISCOUNT, 0) / (STRENGTH + total[where]) + back[where] * shared))
             left.append(np.log(back))
         self.ratio, self.unseen = logs[0] - logs[1], left[0] - left[1]
-        both = counts[0] + counts[1]
-        sums = totals or (counts[0].sum(), counts[1].sum())
-        share = sums[0] / max(1.0, sums[0] + sums[1])
-        far = np.abs(counts[0] - share * both) >= CLEAR * np.sqrt(share * (1 - share) * both + 1e-12)
-        odds = np.log((counts[0] + 0.5) / (counts[1] + 0.5)) - np.log((sums[0] + 0.5) / (sums[1] + 0.5))
-        far &= np.abs(odds) >= np.log(TIMES)
-        self.clear = np.where(far, self.ratio, 0.0)
 
     @staticmethod
     def _interpolated(c: np.ndarray, where: np.ndarray, lower: np.ndarray | float) -> np.ndarray:
@@ -166,10 +186,6 @@ class KneserNey:
         return p[np.searchsorted(below, self.keys & U((1 << 8 * (ORDER - 1)) - 1))]
 
     def evidence(self, keys: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio of each n-gram's last byte, where its classes are far apart."""
-        return _looked_up(self.keys, self.clear, keys, 0.0)
-
-    def full_evidence(self, keys: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio of each n-gram's last byte; of unseen ones, what the models of their context leave to the shared one."""
         return _looked_up(self.keys, self.ratio, keys, _looked_up(self.context, self.unseen, keys >> U(8), 0.0))
 
@@ -207,26 +223,23 @@ def _last(g: str, k: int) -> Column:
 
 
 class Model:
-    """The table of all counted n-grams (part, key, toxic, ordinary, lower) in `parts` parts by context, and the counts of both classes."""
+    """The table of all counted n-grams (part, key, toxic, ordinary, lower) in `parts` parts by context."""
 
     def __init__(self, counted: DataFrame) -> None:
         self.parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         lower = _lower_orders(counted)
         part = F.pmod(F.shiftright(F.shiftright("key", 8) * F.lit(SPREAD).cast("long"), 15), F.lit(self.parts)).cast("int").alias("part")
         self.table = written(counted.join(lower, _last("key", ORDER - 1) == F.col("g")).select(part, "key", "toxic", "ordinary", "lower"), "ngrams")
-        sums = self.table.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).first()
-        self.totals = float(sums.toxic or 0), float(sums.ordinary or 0)
 
     def answers(self, asked: DataFrame) -> DataFrame:
-        """(__chunk, blob of keys, full and clear evidence) for the rows (part, __chunk, blob of keys)."""
-        totals = self.totals
+        """(__chunk, blob of keys and their evidence) for the rows (part, __chunk, blob of keys)."""
 
         def answer(table: pa.Table, asking: pa.Table) -> pa.Table:
-            model = KneserNey(table["key"].to_numpy().view(U), table["toxic"].to_numpy(), table["ordinary"].to_numpy(), table["lower"].to_numpy(), totals)
+            model = KneserNey(table["key"].to_numpy().view(U), table["toxic"].to_numpy(), table["ordinary"].to_numpy(), table["lower"].to_numpy())
             blobs = []
             for blob in asking["blob"].to_pylist():
                 (keys,) = unpack(blob)
-                blobs.append(pack(keys, model.full_evidence(keys), model.evidence(keys)))
+                blobs.append(pack(keys, model.evidence(keys).astype(np.float32)))
             out = pa.Table.from_arrays([asking["__chunk"], pa.array(blobs, pa.binary())], names=["__chunk", "blob"])
             release()
             return out
@@ -236,27 +249,13 @@ class Model:
 
 def learn(learning: DataFrame) -> Model:
     """The models of rows (text, toxic 0/1)."""
-    return Model(written(ngram_counts(learning), "counts"))
+    return _model(written(ngram_counts(bags(learning.select("text", "toxic", F.lit(0).alias("left")), "text")), "counts"), True)
 
 
-def bags(df: DataFrame, text: str) -> DataFrame:
-    """The rows with, in place of the text, its distinct lower-cased words, a space after each: all that counts and evidence read of it."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for table in steps(batch, text):
-                w = Words(table.column(text).combine_chunks(), lower=True)
-                off, body = np.zeros(table.num_rows + 1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
-                if len(w):
-                    first, where, doc = once_per_text(w)
-                    body, ends = join_words(w, first[where])
-                    off = ends[np.searchsorted(doc, np.arange(table.num_rows + 1))]
-                bag = pa.LargeStringArray.from_buffers(table.num_rows, pa.py_buffer(np.ascontiguousarray(off)), pa.py_buffer(np.ascontiguousarray(body)))
-                at = table.schema.get_field_index(text)
-                yield from table.set_column(at, text, bag.cast(pa.string())).to_batches()
-
-    return df.mapInArrow(frugal(run), fields)
+def _model(counts: DataFrame, whole: bool) -> Model:
+    """The models of all counts, or of those without the tuning fold's."""
+    two = [(F.col(c) + F.col(f"{c}_left") if whole else F.col(c)).alias(c) for c in COUNTS[:2]]
+    return Model(counts.select("key", *two).where("toxic + ordinary > 0"))
 
 
 def _asked(dealt: DataFrame, n: int) -> DataFrame:
@@ -278,7 +277,7 @@ def _asked(dealt: DataFrame, n: int) -> DataFrame:
             blobs = [pack(np.sort(keys[order[cut[p] : cut[p + 1]]])) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([c] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "__chunk", "blob"])
 
-    return dealt.mapInArrow(frugal(run), "part int, __chunk long, blob binary")
+    return dealt.select("__chunk", "__bag").mapInArrow(frugal(run), "part int, __chunk long, blob binary")
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -299,38 +298,37 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return b[:-1] / scale, float(b[-1])
 
 
-def _evidence_of(column: pa.Array, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """FEATURES of each text (as its distinct words) by the two values of each n-gram; zeros without words."""
-    w = Words(column)
+def _evidence_of(bag: pa.Array, times: pa.Array, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """FEATURES of each text (as its bag) by the value of each n-gram; zeros without words."""
+    w, often = read_bags(bag, times)
     n = len(w.counts)
     if not len(w):
         return np.zeros((n, len(FEATURES)))
-    first, where, doc = once_per_text(w)
+    _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
     grams, word = word_grams(w, first)
-    size = (w.end - w.start + 1)[first].astype(float)
-    length = np.maximum(np.bincount(doc, weights=size[where], minlength=n), 1)
-    out = []
-    for v in values:
-        each = np.bincount(word, weights=_looked_up(keys, v, grams, 0.0), minlength=len(first))
-        total = np.bincount(doc, weights=each[where], minlength=n)
-        out += [total / length, total / np.sqrt(length)]
-    return np.stack(out, axis=1)
+    each = np.bincount(word, weights=_looked_up(keys, values, grams, 0.0), minlength=len(first))[where]
+    length = np.maximum(np.bincount(w.doc, weights=(w.end - w.start + 1) * often, minlength=n), 1)
+    peak = np.zeros(n)
+    some = np.flatnonzero(w.counts)
+    peak[some] = np.maximum.reduceat(each, w.first[some])
+    return np.stack((np.bincount(w.doc, weights=each * often, minlength=n) / length, peak), axis=1)
 
 
 def scored(df: DataFrame, model: Model, a: np.ndarray, b: float, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), chunks: int | None = None) -> DataFrame:
-    """doc_id, FEATURES, score and the kept columns of every row; null text counts as empty."""
+    """doc_id, FEATURES, score and the kept columns (as __k0, __k1 ..) of every row; null text counts as empty."""
     chunks = chunks or model.parts
-    df = df.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(chunks)).alias("__chunk"), F.col(text).alias("__bag"), *keep)
-    fields = ", ".join(["doc_id " + df.schema["doc_id"].dataType.simpleString(), *(f"{f} double" for f in FEATURES), "score double", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)])
+    kept = [f"__k{i}" for i in range(len(keep))]
+    df = df.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(chunks)).alias("__chunk"), F.col(text).alias("__bag"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
+    fields = ", ".join(["doc_id " + df.schema["doc_id"].dataType.simpleString(), *(f"{f} double" for f in FEATURES), "score double", *(f"{k} {df.schema[k].dataType.simpleString()}" for k in kept)])
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         got = [unpack(blob) for blob in answers["blob"].to_pylist()]
-        keys, full, clear = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, dtype=U), np.zeros(0), np.zeros(0))
+        keys, values = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, dtype=U), np.zeros(0))
         order = np.argsort(keys)
-        keys, values = keys[order], np.stack((full[order], clear[order]))
-        x = np.concatenate([np.zeros((0, len(FEATURES))), *(_evidence_of(t.column("__bag").combine_chunks(), keys, values) for t in steps(docs, "__bag"))])
+        keys, values = keys[order], values[order].astype(float)
+        x = np.concatenate([np.zeros((0, len(FEATURES))), *(_evidence_of(t.column("__bag").combine_chunks(), t.column("__times"), keys, values) for t in steps(docs, "__bag"))])
         p = 1 / (1 + np.exp(-np.clip(x @ a + b, -700, 700)))
-        out = pa.Table.from_arrays([docs["doc_id"], *(pa.array(c) for c in x.T.copy()), pa.array(p), *(docs[c] for c in keep)], names=["doc_id", *FEATURES, "score", *keep])
+        out = pa.Table.from_arrays([docs["doc_id"], *(pa.array(c) for c in x.T.copy()), pa.array(p), *(docs[k] for k in kept)], names=["doc_id", *FEATURES, "score", *kept])
         release()
         return out
 
@@ -348,22 +346,28 @@ def classify(df: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0
     """doc_id, held_out, score and predicted (score >= 0.5) of every row of df, and the kept columns.
 
     Labels are used of rows whose fold of the id is not `held_out`. The curve is fitted on FIT_ROWS
-    of the next fold by models of the others, so on texts these have not seen; the final models
-    have the counts of all. Labels that are null, or of ids with a null, teach nothing; an
-    id with several labels teaches each. Without labels of both kinds every score is 0.5 or that
-    kind's. Null and empty text have no evidence. Repeated rows each get their row.
+    of the next fold (the tuning fold) by models of the others, so on texts these have not seen; the
+    final models have the counts of all. Labels that are null, or of ids with a null, teach
+    nothing; an id with several labels teaches each. Without labels of both kinds every score is
+    0.5 or that kind's. Null and empty text have no evidence. Repeated rows each get their row.
+    Other columns are ignored whatever their names; a kept one may not have an output's name.
     """
-    known = labels.where(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("__id"), "toxic", fold(F.col(id_col), folds).alias("__fold")).where(F.col("__fold") != held_out)
-    texts = bags(df.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).where(fold(F.col("__id"), folds) != held_out), "text")
-    learning = texts.hint("merge").join(known, "__id").select("__id", "text", "toxic", "__fold")
+    if clash := set(keep) & {"doc_id", "held_out", "score", "predicted"}:
+        raise ValueError(f"kept columns have names of outputs: {sorted(clash)}")
     tuning = (held_out + 1) % folds
-    rest, left_out = (written(ngram_counts(learning.where(c)), "counts") for c in (F.col("__fold") != tuning, F.col("__fold") == tuning))
-    model = Model(rest)
-    rows_ = known.where(F.col("__fold") == tuning).count()
-    few = learning.where(F.col("__fold") == tuning).where(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(1, rows_))))
-    fit = scored(few, model, np.zeros(len(FEATURES)), 0.0, "__id", "text", ("toxic",)).select(*FEATURES, "toxic").toPandas()
-    a, b = curve(fit[list(FEATURES)].to_numpy(dtype=float), fit.toxic.to_numpy(dtype=float))
-    model = Model(rest.union(left_out).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    known = labels.where(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.withColumn("left", (fold(F.col("__id"), folds) == tuning).cast("int")).where(fold(F.col("__id"), folds) != held_out)
+    mine = df.select(F.col(id_col).alias("__id"), F.col(text).alias("text"))
+    learning = bags(mine.where(fold(F.col("__id"), folds) != held_out), "text").hint("merge").join(known, "__id")
+    counts = written(ngram_counts(learning), "counts")
+    tuned = known.where("left = 1")
+    share = int((1 << 20) * min(1.0, FIT_ROWS / max(1, tuned.count())))
+    chosen = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 20)) < share
+    few = mine.where((fold(F.col("__id"), folds) == tuning) & chosen).hint("merge").join(tuned.where(chosen), "__id").select("__id", "text", "toxic")
+    fit = scored(few, _model(counts, False), np.zeros(len(FEATURES)), 0.0, "__id", "text", ("toxic",)).select(*FEATURES, "__k0").toPandas().sort_values([*FEATURES, "__k0"])
+    a, b = curve(fit[list(FEATURES)].to_numpy(dtype=float), fit["__k0"].to_numpy(dtype=float))
+    model = _model(counts, True)
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     out = scored(df, model, a, b, id_col, text, keep, max(model.parts, -(-size // CHUNK_BYTES)))
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)
+    held = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])

@@ -61,6 +61,52 @@ def test_toxicity_counts_the_tuning_fold(labelled, monkeypatch):
     assert [m.table.where(F.col("key") == key).count() for m in models] == [0, 1]
 
 
+def grams_of(text):
+    """The n-grams of a text's words, with repeats, by plain loops."""
+    for w in words(text):
+        p = b" " * (toxicity.ORDER - 1) + bytes(c + 32 if 65 <= c <= 90 else c for c in w.encode()) + b" "
+        yield [p[i : i + toxicity.ORDER] for i in range(len(p) - toxicity.ORDER + 1)]
+
+
+def kneser_ney_brute(texts):
+    """Evidence of an n-gram by class-conditional Kneser-Ney models of (text, toxic) rows, from dictionaries."""
+    d, s = toxicity.DISCOUNT, toxicity.STRENGTH
+    counts = ({}, {})
+    for text, toxic in texts:
+        for word in grams_of(text):
+            for g in word:
+                counts[1 - toxic][g] = counts[1 - toxic].get(g, 0) + 1
+    both = {g: counts[0].get(g, 0) + counts[1].get(g, 0) for g in counts[0].keys() | counts[1].keys()}
+    levels = [both]
+    for _ in range(toxicity.ORDER - 1):
+        c = {}
+        for g in levels[-1]:
+            c[g[1:]] = c.get(g[1:], 0) + 1
+        levels.append(c)
+
+    def of_context(c, h):
+        mine = [v for g, v in c.items() if g[:-1] == h]
+        return sum(mine), sum(v > 0 for v in mine)
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        c = levels[toxicity.ORDER - len(g)]
+        total, kinds = of_context(c, g[:-1])
+        return (max(c.get(g, 0) - d, 0) + d * kinds * shared(g[1:])) / total
+
+    def evidence(g):
+        if not of_context(both, g[:-1])[0]:
+            return 0.0
+        p = []
+        for c in counts:
+            total, kinds = of_context(c, g[:-1])
+            p.append(((max(c.get(g, 0) - d, 0) if g in both else 0.0) + (s + d * kinds) * (shared(g) if g in both else 1.0)) / (s + total))
+        return float(np.log(p[0]) - np.log(p[1]))
+
+    return evidence
+
+
 def test_kneser_ney_is_a_distribution():
     keys = np.array([int.from_bytes(bytes(g), "big") for g in ((32, 32, 32, 32, c) for c in range(97, 105))], dtype=np.uint64)
     counts = np.arange(1, 9)
@@ -68,7 +114,7 @@ def test_kneser_ney_is_a_distribution():
     p = toxicity.KneserNey._interpolated(counts.astype(float), where, 1 / 8)
     assert abs(p.sum() - 1) < 1e-12
     model = toxicity.KneserNey(keys, counts**3 * 100, counts[::-1] ** 3 * 100)
-    assert model.evidence(keys)[-1] > 0 > model.evidence(keys)[0] and model.evidence(keys)[3] == 0
+    assert model.evidence(keys)[-1] > 0 > model.evidence(keys)[0]
     assert toxicity.KneserNey(keys[:0], counts[:0], counts[:0]).evidence(keys).tolist() == [0.0] * 8
 
 
@@ -78,24 +124,43 @@ def test_rare_and_unseen_ngrams_are_evidence():
     toxic = np.repeat([1, 0], 20)
     model = toxicity.KneserNey(keys, toxic, 1 - toxic)
     unseen = np.array([int.from_bytes(x, "big") for x in (b"vilez", b"goodz", b"newxz")], dtype=np.uint64)
-    got = model.full_evidence(np.concatenate((keys, unseen)))
+    got = model.evidence(np.concatenate((keys, unseen)))
     assert (got[:20] > 0).all() and (got[20:40] < 0).all() and got[40] != 0 and got[41] == -got[40] and got[42] == 0
 
 
+def test_scores_are_those_of_brute_force_models(spark):
+    """Every n-gram's evidence, and every text's features, against dictionaries and plain loops: repeats count, unseen n-grams back off."""
+    rng = np.random.default_rng(8)
+    texts = [(" ".join("".join("abcdé"[k] for k in rng.integers(0, 5, rng.integers(1, 6))) for _ in range(rng.integers(0, 12))), int(i % 3 == 0)) for i in range(30)] + [("vile Vile VILE thing", 1)]
+    evidence = kneser_ney_brute(texts)
+    model = toxicity.learn(spark.createDataFrame(texts, "text string, toxic int"))
+    asked = [t for t, _ in texts] + ["vile vile ab abz new words zz", "", None, "vile " + "ab " * 30]
+    got = toxicity.scored(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, np.zeros(2), 0.0).toPandas().set_index("doc_id")
+    for i, t in enumerate(asked):
+        each = [sum(evidence(g) for g in word) for word in grams_of(t)]
+        length = sum(len(w.encode()) + 1 for w in words(t))
+        assert abs(got.evidence[i] - sum(each) / max(1, length)) < 1e-5
+        assert abs(got.peak[i] - max(each, default=0.0)) < 1e-5
+
+
 def test_the_table_of_ngrams_is_the_model_of_all_counts(spark):
     """Every counted n-gram stands in the dealt table, whatever its share of the corpus, with the lower orders of the whole model."""
     common = " ".join(f"w{i}" for i in range(300))
     texts = [(f"{common} once{i}x", int(i == 3)) for i in range(40)] + [("rarevile", 1)]
-    learning = spark.createDataFrame(texts, "text string, toxic int")
-    model = toxicity.learn(learning)
+    model = toxicity.learn(spark.createDataFrame(texts, "text string, toxic int"))
     table = model.table.toPandas().sort_values("key")
     words_ = {w for t, _ in texts for w in t.split()}
     assert set(table.key) == {int.from_bytes(p[i : i + 5], "big") for p in (b"    " + w.encode() + b" " for w in words_) for i in range(len(p) - 4)}
     whole = toxicity.KneserNey(table.key.to_numpy().view(np.uint64), table.toxic.to_numpy(), table.ordinary.to_numpy())
     assert np.allclose(table.lower, whole._lower())
-    x = toxicity.scored(spark.createDataFrame([(1, "rarevile"), (2, None), (3, "w1 w2")], "doc_id long, text string"), model, np.zeros(4), 0.0).toPandas().set_index("doc_id")
-    keys = np.array([int.from_bytes(b"    rarevile "[i : i + 5], "big") for i in range(9)], dtype=np.uint64)
-    assert abs(x.evidence[1] - whole.full_evidence(keys).sum() / 9) < 1e-9 and x.evidence[1] > 0 and x.evidence[2] == 0 > x.evidence[3]
+
+
+def test_kept_columns_may_not_take_outputs_names(spark, clashing):
+    labels = spark.createDataFrame([], LABELS)
+    with pytest.raises(ValueError, match="score"):
+        toxicity.classify(clashing, labels, keep=("score",))
+    got = toxicity.classify(clashing, labels, keep=("part", "th"))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted", "part", "th"] and got.count() == len(odd_rows())
 
 
 def test_quality_on_held_out_rows(labelled):
