@@ -170,6 +170,71 @@ def test_quality_on_held_out_rows(labelled):
     assert all(r.held_out == (fold(r.doc_id, 4) == 2) and r.predicted == int(r.score >= 0.7) for r in scored.collect())
 
 
+def test_quality_sums_are_of_all_rows(spark, labelled):
+    """A pass gives the parts of the risk that plain loops give, over every row, in any layout."""
+    df, labels = labelled
+    table = quality.measured(df).withColumn("trusted", F.col("doc_id") % 3 == 0).repartition(5).persist()
+    rows = [(np.array(r.measures), r.trusted) for r in table.collect()]
+    x = np.array([m for m, _ in rows])
+    curve = quality.Curve(x.mean(axis=0), x.std(axis=0) + 1e-6)
+    curve.w = np.random.default_rng(3).normal(0, 0.3, x.shape[1] + 1)
+    got = quality.sums(table, quality.risks(curve))
+    everything = positive_as_negative = positive = 0.0
+    for m, trusted in rows:
+        z = sum(w * max(-quality.CLIP, min(quality.CLIP, (v - a) / s)) for w, v, a, s in zip(curve.w, m, curve.mean, curve.scale, strict=False)) + curve.w[-1]
+        everything += np.log1p(np.exp(z))
+        if trusted:
+            positive_as_negative += np.log1p(np.exp(z))
+            positive += np.log1p(np.exp(-z))
+    assert np.allclose(got[:3], [everything, positive_as_negative, positive])
+    count = quality.sums(table, quality.moments)
+    assert count[0] == 600 and count[1] == 200 and np.allclose(count[2 : 2 + x.shape[1]], x.sum(axis=0))
+    again = quality.sums(table, quality.risks(curve))
+    assert (got == again).all()
+
+
+def test_quality_fit_is_the_least_risk():
+    """No step of any one weight lowers the penalised non-negative risk; the prior comes from positives and unlabelled rows."""
+    rng = np.random.default_rng(6)
+    good = rng.random(3000) < 0.7
+    x = rng.normal(size=(3000, 3)) + np.where(good, 1.5, -1.5)[:, None]
+    trusted = good & (rng.random(3000) < 0.3)
+    curve, prior = quality.fit(lambda f: f(x, trusted))
+    assert abs(prior - 0.7) < 0.06
+
+    def risk(w):
+        z = curve.input(x) @ w
+        negative = np.logaddexp(0, z).mean() - prior * np.logaddexp(0, z[trusted]).mean()
+        return prior * np.logaddexp(0, -z[trusted]).mean() + max(0.0, negative) + quality.RIDGE / 2 * (w[:-1] ** 2).sum()
+
+    least = risk(curve.w)
+    for i in range(4):
+        for by in (-0.05, 0.05):
+            w = curve.w.copy()
+            w[i] += by
+            assert risk(w) >= least - 1e-6
+    assert ((curve.score(x) >= 0.5) == good).mean() > 0.95
+
+
+def test_quality_prior_by_plain_loops():
+    rng = np.random.default_rng(9)
+    u, p = rng.integers(0, 50, quality.BINS), rng.integers(0, 9, quality.BINS)
+    best = None
+    slack = np.sqrt(np.log(4 / quality.DOUBT) / (2 * u.sum())) + np.sqrt(np.log(4 / quality.DOUBT) / (2 * p.sum()))
+    for at in range(quality.BINS - 1, -1, -1):
+        qu, qp = u[at:].sum() / u.sum(), p[at:].sum() / p.sum()
+        if qp and (best is None or (qu + slack) / qp < best[0]):
+            best = ((qu + slack) / qp, qu / qp)
+    assert abs(quality.prior_of(u, p) - min(0.99, max(0.01, best[1]))) < 1e-12
+
+
+def test_quality_learns_nothing_from_negatives_or_held_out_rows(spark, labelled):
+    df, labels = labelled
+    other = labels.withColumn("quality", F.when(toxicity.fold(F.col("doc_id"), 4) == 2, 1 - F.col("quality")).when(F.col("quality") == 0, F.lit(None)).otherwise(F.col("quality")))
+    one, two = ({r.doc_id: r.score for r in quality.classify(df, x).collect()} for x in (labels, other))
+    assert one == two
+
+
 @pytest.mark.parametrize("f", [toxicity.classify, quality.classify])
 def test_classifiers_on_odd_rows(spark, odd, clashing, none, f):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, None), (None, 1, 1), (9, 1, 0)], LABELS)
