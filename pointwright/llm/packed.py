@@ -37,6 +37,18 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack_table(table: pa.Table, level: int = 1) -> bytes:
+    """Rows of any columns as one binary value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table.combine_chunks())
+    return zstandard.ZstdCompressor(level=level).compress(sink.getvalue().to_pybytes())
+
+
+def unpack_table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+
+
 def bundle(*blobs: bytes) -> bytes:
     return struct.pack(f"<H{len(blobs)}Q", len(blobs), *map(len, blobs)) + b"".join(blobs)
 

@@ -14,8 +14,9 @@ logistic curve of the two is the score.
 Each mapper counts its distinct words once and sums their n-grams (the bytes of an n-gram are
 its key), packed by the hash of the n-gram. Every counted n-gram is kept, with its shared
 lower-order probability, in a table dealt by the hash of its context; nothing of it is broadcast
-or collected. Texts travel as their distinct words with their times, in chunks by a hash of the
-row; a chunk asks each part of the table for its distinct n-grams and is scored with the answers.
+or collected. Texts travel as their distinct words with their times, packed, in chunks by a hash
+of the row; a chunk asks each part of the table for its distinct n-grams and is scored with the
+answers.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packed import SCHEMA, deal, frugal, pack, rows, split_by, unpack
+from .packed import SCHEMA, deal, frugal, pack, pack_table, rows, split_by, unpack, unpack_table
 from .substring_dedup import join_words, ranges
 from .words import U, Words, mix64, release, steps
 from .work import written
@@ -39,7 +40,7 @@ FEATURES = ("evidence", "peak")
 FIT_ROWS = 20_000
 HELD = 1 << 20
 #: Bytes of text that a chunk holds, about.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 #: Spreads contexts (32 bits) over the parts of the table; their product has 63 bits.
 SPREAD = 1640531527
 #: Counts of an n-gram: by class in the rows that the first models learn from, and in the tuning fold.
@@ -60,31 +61,39 @@ def word_grams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[np.arange(len(text)) + pad * (word + 1)], word
 
 
-def bags(df: DataFrame, text: str) -> DataFrame:
+def bag(table: pa.Table, text: str) -> pa.Table:
     """The rows with, in place of the text, its distinct lower-cased words (a space after each, those that stand most often first) and __times, how often the words of several times stand: all that counts and evidence read of it."""
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "__times array<int>"])
+    w = Words(table.column(text).combine_chunks(), lower=True)
+    n = table.num_rows
+    off, body, several, times = np.zeros(n + 1, dtype=np.int64), np.zeros(0, dtype=np.uint8), np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int32)
+    if len(w):
+        _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        pair, count = np.unique(w.doc * len(first) + where, return_counts=True)
+        doc, word = pair // len(first), pair % len(first)
+        order = np.lexsort((word, -count, doc))
+        body, ends = join_words(w, first[word[order]])
+        off = ends[np.searchsorted(doc, np.arange(n + 1))]
+        count = count[order]
+        several, times = np.bincount(doc[order][count > 1], minlength=n), count[count > 1].astype(np.int32)
+    words = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.ascontiguousarray(off)), pa.py_buffer(np.ascontiguousarray(body)))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(several))).astype(np.int32)), pa.array(times))
+    return table.set_column(table.schema.get_field_index(text), text, words.cast(pa.string())).append_column("__times", lists)
+
+
+def bags(df: DataFrame, n: int) -> DataFrame:
+    """(part, blob): the rows of df (with __bag, a text, and __chunk, one of n) as bags, packed by chunk and brought together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for table in steps(batch, text):
-                w = Words(table.column(text).combine_chunks(), lower=True)
-                n = table.num_rows
-                off, body, several, times = np.zeros(n + 1, dtype=np.int64), np.zeros(0, dtype=np.uint8), np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int32)
-                if len(w):
-                    _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                    pair, count = np.unique(w.doc * len(first) + where, return_counts=True)
-                    doc, word = pair // len(first), pair % len(first)
-                    order = np.lexsort((word, -count, doc))
-                    body, ends = join_words(w, first[word[order]])
-                    off = ends[np.searchsorted(doc, np.arange(n + 1))]
-                    count = count[order]
-                    several, times = np.bincount(doc[order][count > 1], minlength=n), count[count > 1].astype(np.int32)
-                bag = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.ascontiguousarray(off)), pa.py_buffer(np.ascontiguousarray(body)))
-                times = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(several))).astype(np.int32)), pa.array(times))
-                table = table.set_column(table.schema.get_field_index(text), text, bag.cast(pa.string()))
-                yield from table.append_column("__times", times).to_batches()
-
-    return df.mapInArrow(frugal(run), fields)
+            made = [bag(table, "__bag") for table in steps(batch, "__bag")]
+            if made:
+                table = pa.concat_tables(made)
+                order, cut = split_by(table.column("__chunk").to_numpy(), n)
+                table = table.drop_columns("__chunk").take(pa.array(order))
+                parts = np.flatnonzero(np.diff(cut)).tolist()
+                yield rows(parts, [pack_table(table.slice(cut[p], cut[p + 1] - cut[p])) for p in parts])
+
+    return df.mapInArrow(frugal(run), SCHEMA).repartition(n, "part")
 
 
 def read_bags(bag: pa.Array, times: pa.Array) -> tuple[Words, np.ndarray]:
@@ -105,30 +114,39 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return distinct, np.stack([np.bincount(where, weights=c, minlength=len(distinct)) for c in counts.T], axis=1)
 
 
-def ngram_counts(learning: DataFrame) -> DataFrame:
-    """(key, COUNTS) of every n-gram of rows (text, __times, toxic, left): bags of texts, their class, and whether they are of the tuning fold."""
-    n = int(learning.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a mapper's sums grow with the alphabet, not with its texts
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for table in steps(batch, "text"):
-                w, times = read_bags(table.column("text").combine_chunks(), table.column("__times"))
-                if not len(w):
-                    continue
-                kind = 2 * table.column("left").to_numpy().astype(np.int64) + 1 - table.column("toxic").to_numpy().astype(np.int64)
-                _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                sums = np.bincount(where * len(COUNTS) + kind[w.doc], weights=times, minlength=len(first) * len(COUNTS)).reshape(-1, len(COUNTS))
-                keys, word = word_grams(w, first)
-                held.append(_summed([(keys, sums[word])]))
-                if sum(len(k) for k, _ in held) > HELD:
-                    held = [_summed(held)]
-        if held:
-            keys, sums = _summed(held)
-            order, cut = split_by(mix64(keys) % U(n), n)
-            for p in np.flatnonzero(np.diff(cut)).tolist():
-                at = order[cut[p] : cut[p + 1]]
-                yield rows([p], [pack(keys[at], *sums[at].T.astype(np.int64))])
+def counts_of(bags_: list[pa.Table], known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of bags (__id, __bag, __times) whose ids are known (__id, toxic, left), and their COUNTS."""
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=U), np.zeros((0, len(COUNTS))))]
+    for table in bags_:
+        met = pa.table({"__id": table["__id"], "at": np.arange(table.num_rows)}).join(known, "__id", join_type="inner")
+        kind = np.bincount(met["at"].to_numpy() * len(COUNTS) + 2 * met["left"].to_numpy() + 1 - met["toxic"].to_numpy(), minlength=table.num_rows * len(COUNTS)).reshape(-1, len(COUNTS))
+        for part, of in ((t, kind[t["__row"].to_numpy()]) for t in steps(table.append_column("__row", pa.array(np.arange(table.num_rows))).filter(pa.array(kind.any(axis=1))), "__bag")):
+            w, times = read_bags(part.column("__bag").combine_chunks(), part.column("__times"))
+            if not len(w):
+                continue
+            _, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            sums = np.stack([np.bincount(where, weights=times * k[w.doc], minlength=len(first)) for k in of.T], axis=1)
+            keys, word = word_grams(w, first)
+            held.append(_summed([(keys, sums[word])]))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = [_summed(held)]
+    return _summed(held)
+
+
+def ngram_counts(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, COUNTS) of every n-gram of the rows (__id, text) whose ids are known, by (__id, toxic, left): the class, and 1 for the tuning fold."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the n-grams grow with the alphabet, not with the texts
+    chunks = max(n, -(-_size(texts, "text") // CHUNK_BYTES))
+    chunk = F.pmod(F.xxhash64("__id"), F.lit(chunks)).cast("int")
+    dealt = bags(texts.select("__id", chunk.alias("__chunk"), F.col("text").alias("__bag")), chunks)
+
+    def count(docs: pa.Table, known: pa.Table) -> pa.Table:
+        keys, sums = counts_of([unpack_table(b) for b in docs["blob"].to_pylist()], known.drop_columns("part"))
+        order, cut = split_by(mix64(keys) % U(n), n)
+        parts = np.flatnonzero(np.diff(cut)).tolist()
+        out = rows(parts, [pack(keys[at], *sums[at].T.astype(np.int64)) for at in (order[cut[p] : cut[p + 1]] for p in parts)])
+        release()
+        return pa.Table.from_batches([out])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -142,8 +160,9 @@ def ngram_counts(learning: DataFrame) -> DataFrame:
             keys, sums = _summed(held)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in sums.T)], names=["key", *COUNTS])
 
-    counted = deal(learning.select("text", "__times", "toxic", "left").mapInArrow(frugal(count), SCHEMA), n)
-    return counted.mapInArrow(frugal(add), "key long, " + ", ".join(f"{c} long" for c in COUNTS))
+    labelled = known.select(chunk.alias("part"), "__id", F.col("toxic").cast("long"), F.col("left").cast("long"))
+    counted = dealt.groupBy("part").cogroup(labelled.groupBy("part")).applyInArrow(count, SCHEMA)
+    return deal(counted, n).mapInArrow(frugal(add), "key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 class KneserNey:
@@ -244,12 +263,17 @@ class Model:
             release()
             return out
 
-        return self.table.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "__chunk long, blob binary")
+        return self.table.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "__chunk int, blob binary")
 
 
 def learn(learning: DataFrame) -> Model:
-    """The models of rows (text, toxic 0/1)."""
-    return _model(written(ngram_counts(bags(learning.select("text", "toxic", F.lit(0).alias("left")), "text")), "counts"), True)
+    """The models of rows (__id, text, toxic 0/1), each id once."""
+    known = learning.select("__id", "toxic", F.lit(0).alias("left"))
+    return _model(written(ngram_counts(learning.select("__id", "text"), known), "counts"), True)
+
+
+def _size(df: DataFrame, text: str) -> int:
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def _model(counts: DataFrame, whole: bool) -> Model:
@@ -264,9 +288,8 @@ def _asked(dealt: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            chunk = batch.column("__chunk").to_numpy()
-            for c in np.unique(chunk).tolist():
-                for table in steps(batch.filter(pa.array(chunk == c)), "__bag"):
+            for c, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                for table in steps(unpack_table(blob), "__bag"):
                     w = Words(table.column("__bag").combine_chunks())
                     if len(w):
                         first = np.unique(w.hashes(), return_index=True)[1]
@@ -275,9 +298,9 @@ def _asked(dealt: DataFrame, n: int) -> DataFrame:
             order, cut = split_by(_part(keys.view(np.int64), n), n)
             parts = np.flatnonzero(np.diff(cut)).tolist()
             blobs = [pack(np.sort(keys[order[cut[p] : cut[p + 1]]])) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([c] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "__chunk", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([c] * len(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "__chunk", "blob"])
 
-    return dealt.select("__chunk", "__bag").mapInArrow(frugal(run), "part int, __chunk long, blob binary")
+    return dealt.mapInArrow(frugal(run), "part int, __chunk int, blob binary")
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -314,11 +337,11 @@ def _evidence_of(bag: pa.Array, times: pa.Array, keys: np.ndarray, values: np.nd
     return np.stack((np.bincount(w.doc, weights=each * often, minlength=n) / length, peak), axis=1)
 
 
-def scored(df: DataFrame, model: Model, a: np.ndarray, b: float, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), chunks: int | None = None) -> DataFrame:
+def scored(df: DataFrame, model: Model, a: np.ndarray, b: float, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, FEATURES, score and the kept columns (as __k0, __k1 ..) of every row; null text counts as empty."""
-    chunks = chunks or model.parts
+    chunks = max(model.parts, -(-_size(df, text) // CHUNK_BYTES))
     kept = [f"__k{i}" for i in range(len(keep))]
-    df = df.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(chunks)).alias("__chunk"), F.col(text).alias("__bag"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
+    df = df.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(chunks)).cast("int").alias("__chunk"), F.col(text).alias("__bag"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
     fields = ", ".join(["doc_id " + df.schema["doc_id"].dataType.simpleString(), *(f"{f} double" for f in FEATURES), "score double", *(f"{k} {df.schema[k].dataType.simpleString()}" for k in kept)])
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -326,15 +349,18 @@ def scored(df: DataFrame, model: Model, a: np.ndarray, b: float, id_col: str = "
         keys, values = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, dtype=U), np.zeros(0))
         order = np.argsort(keys)
         keys, values = keys[order], values[order].astype(float)
-        x = np.concatenate([np.zeros((0, len(FEATURES))), *(_evidence_of(t.column("__bag").combine_chunks(), t.column("__times"), keys, values) for t in steps(docs, "__bag"))])
-        p = 1 / (1 + np.exp(-np.clip(x @ a + b, -700, 700)))
-        out = pa.Table.from_arrays([docs["doc_id"], *(pa.array(c) for c in x.T.copy()), pa.array(p), *(docs[k] for k in kept)], names=["doc_id", *FEATURES, "score", *kept])
+        out = []
+        for blob in docs["blob"].to_pylist():
+            for t in steps(unpack_table(blob), "__bag"):
+                x = _evidence_of(t.column("__bag").combine_chunks(), t.column("__times"), keys, values)
+                p = 1 / (1 + np.exp(-np.clip(x @ a + b, -700, 700)))
+                out.append(pa.Table.from_arrays([t["doc_id"], *(pa.array(c) for c in x.T.copy()), pa.array(p), *(t[k] for k in kept)], names=["doc_id", *FEATURES, "score", *kept]))
         release()
-        return out
+        return pa.concat_tables(out)  # a chunk with answers has rows, and any row has a blob
 
-    dealt = bags(df, "__bag").repartition(chunks, "__chunk")
-    answers = model.answers(_asked(dealt, model.parts))
-    return dealt.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(score, fields)
+    dealt = bags(df, chunks)
+    answers = model.answers(_asked(dealt, model.parts)).withColumnRenamed("__chunk", "part")
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, fields)
 
 
 def fold(id_col, n: int):
@@ -358,16 +384,13 @@ def classify(df: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0
     known = labels.where(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.withColumn("left", (fold(F.col("__id"), folds) == tuning).cast("int")).where(fold(F.col("__id"), folds) != held_out)
     mine = df.select(F.col(id_col).alias("__id"), F.col(text).alias("text"))
-    learning = bags(mine.where(fold(F.col("__id"), folds) != held_out), "text").hint("merge").join(known, "__id")
-    counts = written(ngram_counts(learning), "counts")
+    counts = written(ngram_counts(mine.where(fold(F.col("__id"), folds) != held_out), known), "counts")
     tuned = known.where("left = 1")
     share = int((1 << 20) * min(1.0, FIT_ROWS / max(1, tuned.count())))
     chosen = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 20)) < share
-    few = mine.where((fold(F.col("__id"), folds) == tuning) & chosen).hint("merge").join(tuned.where(chosen), "__id").select("__id", "text", "toxic")
-    fit = scored(few, _model(counts, False), np.zeros(len(FEATURES)), 0.0, "__id", "text", ("toxic",)).select(*FEATURES, "__k0").toPandas().sort_values([*FEATURES, "__k0"])
-    a, b = curve(fit[list(FEATURES)].to_numpy(dtype=float), fit["__k0"].to_numpy(dtype=float))
-    model = _model(counts, True)
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    out = scored(df, model, a, b, id_col, text, keep, max(model.parts, -(-size // CHUNK_BYTES)))
+    features = scored(mine.where((fold(F.col("__id"), folds) == tuning) & chosen), _model(counts, False), np.zeros(len(FEATURES)), 0.0, "__id").select("doc_id", *FEATURES)
+    fit = features.join(tuned.where(chosen), F.col("doc_id") == F.col("__id")).select(*FEATURES, "toxic").toPandas().sort_values([*FEATURES, "toxic"])
+    a, b = curve(fit[list(FEATURES)].to_numpy(dtype=float), fit["toxic"].to_numpy(dtype=float))
+    out = scored(df, _model(counts, True), a, b, id_col, text, keep)
     held = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out")
     return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])

@@ -133,7 +133,7 @@ def test_scores_are_those_of_brute_force_models(spark):
     rng = np.random.default_rng(8)
     texts = [(" ".join("".join("abcdé"[k] for k in rng.integers(0, 5, rng.integers(1, 6))) for _ in range(rng.integers(0, 12))), int(i % 3 == 0)) for i in range(30)] + [("vile Vile VILE thing", 1)]
     evidence = kneser_ney_brute(texts)
-    model = toxicity.learn(spark.createDataFrame(texts, "text string, toxic int"))
+    model = toxicity.learn(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "__id long, text string, toxic int"))
     asked = [t for t, _ in texts] + ["vile vile ab abz new words zz", "", None, "vile " + "ab " * 30]
     got = toxicity.scored(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, np.zeros(2), 0.0).toPandas().set_index("doc_id")
     for i, t in enumerate(asked):
@@ -147,7 +147,7 @@ def test_the_table_of_ngrams_is_the_model_of_all_counts(spark):
     """Every counted n-gram stands in the dealt table, whatever its share of the corpus, with the lower orders of the whole model."""
     common = " ".join(f"w{i}" for i in range(300))
     texts = [(f"{common} once{i}x", int(i == 3)) for i in range(40)] + [("rarevile", 1)]
-    model = toxicity.learn(spark.createDataFrame(texts, "text string, toxic int"))
+    model = toxicity.learn(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "__id long, text string, toxic int"))
     table = model.table.toPandas().sort_values("key")
     words_ = {w for t, _ in texts for w in t.split()}
     assert set(table.key) == {int.from_bytes(p[i : i + 5], "big") for p in (b"    " + w.encode() + b" " for w in words_) for i in range(len(p) - 4)}
