@@ -3,14 +3,16 @@
 Sources in code-point order (null last) take the weights in turn and share SHARE of all words
 by weight; no target passes CAP times its source, and what is above is shared again.
 
-Each source is one row of words: its documents in the order of a hashed chunk and the id, with
-word offsets from two-level prefix sums (chunks, then inside a chunk), so a source of any share
-of the rows is many tasks. The row is cut into blocks of BLOCK words. Every output shard draws
-a multinomial count of slots per source; the few draws by which a source misses its quota are
-passed on, shard by shard, so totals meet the targets to a block. A source's slots are numbered
-through the shards; slot t is block perm(t mod blocks) of pass t div blocks, where perm is a
-keyed Feistel permutation per source and pass. Slots and blocks join on (source, block), whose
-keys are as even as the permutation: no source is a hot key.
+Each source is one row of words: its documents in the order of a hash of the id, with word
+offsets from two-level prefix sums (over ranges of the hash, then inside a range), so a source of
+any share of the rows is many tasks and the row does not depend on how many. The row is cut into
+blocks of BLOCK words. Every output shard draws a multinomial count of slots per source, on the
+executors, by a seed of its own. A source's drawn slots are numbered through the shards; of a
+source with more than its quota those that a permutation numbers past the quota are passed on to
+the sources that miss theirs, so totals meet the targets to a block. Slot t of a source is block
+perm(t mod blocks) of pass t div blocks, where perm is a keyed Feistel permutation per source
+and pass. Slots and blocks join on (source, block), whose keys are as even as the permutation: no
+source is a hot key. The driver holds a row for each source.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packed import parts_for
+from .substring_dedup import join_words, ranges
 from .words import U, Words, mix64, steps
 from .work import written
 
@@ -57,35 +59,39 @@ def quotas(sizes: np.ndarray, want: np.ndarray, block: int, cap: float) -> tuple
     return blocks, np.minimum(np.floor(want / mean + 0.5).astype(np.int64), np.floor(cap * blocks).astype(np.int64))
 
 
-def shard_counts(slots: np.ndarray, seed: int) -> np.ndarray:
-    """Slots by (shard, source): multinomial draws, then the totals' misses moved between sources, a slot at a time."""
-    total = int(slots.sum())
-    if not total:
-        return np.zeros((0, len(slots)), dtype=np.int64)
+def shards_of(total: int) -> tuple[int, int]:
+    """How many output shards there are, and the slots of each but the last."""
     per = max(SHARD_SLOTS, -(-total // MAX_SHARDS))
-    shards = -(-total // per)
-    rng = np.random.Generator(np.random.PCG64(seed))
-    sizes = np.full(shards, per)
-    sizes[-1] = total - per * (shards - 1)
-    counts = rng.multinomial(sizes, slots / total)
-    miss = counts.sum(axis=0) - slots
-    order, i = rng.permutation(shards), 0
-    while miss.any():
-        s = int(order[i % shards])
-        i += 1
-        give = np.minimum(np.maximum(miss, 0), counts[s])
-        take = np.maximum(-miss, 0)
-        n = min(int(give.sum()), int(take.sum()), max(1, -(-int(np.abs(miss).sum()) // shards)))
-        move_out, move_in = _first(give, n), _first(take, n)
-        counts[s] += move_in - move_out
-        miss = miss + move_in - move_out
-    return counts
-
-
-def _first(have: np.ndarray, n: int) -> np.ndarray:
-    """n units from the counts, in order."""
-    ends = np.minimum(np.cumsum(have), n)
-    return np.diff(ends, prepend=0)
+    return -(-total // per), per
+
+
+def drawn(shard: int, slots: np.ndarray, seed: int) -> np.ndarray:
+    """A shard's multinomial draw of slots by source."""
+    total = int(slots.sum())
+    shards, per = shards_of(total)
+    rng = np.random.Generator(np.random.PCG64([seed, shard]))
+    return rng.multinomial(per if shard + 1 < shards else total - per * (shards - 1), slots / total)
+
+
+class Corrected:
+    """Drawn slots of sources brought to their quotas: those past a quota become slots of sources that miss theirs."""
+
+    def __init__(self, found: np.ndarray, quota: np.ndarray, seed: int) -> None:
+        self.found, self.quota, self.seed = found, quota, seed
+        self.over = np.concatenate(([0], np.cumsum(np.maximum(found - quota, 0))))
+        self.under = np.concatenate(([0], np.cumsum(np.maximum(quota - found, 0))))
+
+    def place(self, sid: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The source and the slot that the drawn slots `number` of source sid come to be."""
+        if self.found[sid] <= self.quota[sid]:
+            return np.full(len(number), sid, dtype=np.int32), number
+        t = permuted(number, int(self.found[sid]), -1 - self.seed - sid)
+        out = np.full(len(number), sid, dtype=np.int32)
+        past = np.flatnonzero(t >= self.quota[sid])
+        u = self.over[sid] + t[past] - self.quota[sid]
+        to = np.searchsorted(self.under, u, "right") - 1
+        out[past], t[past] = to, self.found[to] + u - self.under[to]
+        return out, t
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -109,8 +115,9 @@ class Mix:
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> None:
         spark, n = df.sparkSession, parts_for(df)
         sized = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("th"))
-        chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-        sized = written(sized.withColumn("chunk", chunk), "sizes")
+        # the order is by 63 bits of the hash; chunks are ranges of it, so their number does not change the order
+        sized = sized.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+        sized = written(sized.withColumn("chunk", F.shiftright("h", 63 - max(1, (n - 1).bit_length())).cast("int")), "sizes")
         chunks = sized.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
         found = chunks.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
@@ -119,32 +126,46 @@ class Mix:
         sizes = [r.words for r in found]
         want = targets(sizes, weights, share, cap) if sum(sizes) else [0.0] * len(sizes)
         blocks, slots = quotas(np.array(sizes, dtype=np.int64), np.array(want), block, cap)
-        counts = shard_counts(slots, seed)
         table = [(r.source, i, sizes[i], float(want[i])) for i, r in enumerate(found)]
         self.sources = spark.createDataFrame(table, "source string, sid int, source_size long, target double")
         base = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         bases = chunks.withColumn("base", F.coalesce(F.sum("words").over(base), F.lit(0))).join(F.broadcast(self.sources), F.col("words").isNotNull() & chunks["source"].eqNullSafe(self.sources["source"])).select("sid", "chunk", "base", "source_size", "target")
-        inside = Window.partitionBy("sid", "chunk").orderBy("doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
-        known = sized.join(F.broadcast(self.sources.select(F.col("source").alias("s"), "sid")), sized["source"].eqNullSafe(F.col("s"))).select("doc_id", "size", "th", "chunk", "sid")
+        inside = Window.partitionBy("sid", "chunk").orderBy("h", "doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
+        known = sized.join(F.broadcast(self.sources.select(F.col("source").alias("s"), "sid")), sized["source"].eqNullSafe(F.col("s"))).select("doc_id", "size", "th", "h", "chunk", "sid")
         self.rows = written(known.join(bases, ["sid", "chunk"]).withColumn("at", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).select("doc_id", "th", "size", "sid", "source_size", "target", "at"), "rows")
         pieces = self.rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
         pieces = pieces.select("sid", "block", "at", (F.greatest(F.col("block") * block, "at") - F.col("at")).alias("start"), F.least(F.col("block") * block + block, F.col("at") + F.col("size")).alias("end")).withColumn("words", F.col("end") - F.col("at") - F.col("start")).drop("end")
-        shard, sid = np.nonzero(counts)
-        first = np.cumsum(counts, axis=0) - counts
-        runs = pd.DataFrame({"shard": shard.astype(np.int64), "sid": sid.astype(np.int32), "first": first[shard, sid], "count": counts[shard, sid], "blocks": blocks[sid]})
-        plan = spark.createDataFrame(runs, "shard long, sid int, first long, count long, blocks long")
+        total = int(slots.sum())
+        shards = shards_of(total)[0] if total else 0
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard in batch.column("id").to_pylist():
+                    counts = drawn(shard, slots, seed)
+                    some = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["shard", "sid", "count"])
+
+        draws = spark.range(0, shards, 1, max(1, min(n, shards))).mapInArrow(draw, "shard long, sid int, count long")
+        seen = np.zeros(len(sizes), dtype=np.int64)
+        for r in draws.groupBy("sid").agg(F.sum("count").alias("c")).collect():
+            seen[r.sid] = r.c
+        corrected = Corrected(seen, slots, seed)
+        before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        plan = draws.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    t = np.arange(r["first"], r["first"] + r["count"])
-                    lap, index = t // r["blocks"], t % r["blocks"]
-                    place = np.empty(len(t), dtype=np.int64)
-                    for e in np.unique(lap).tolist():
-                        place[lap == e] = permuted(index[lap == e], r["blocks"], seed + 1_000_003 * r["sid"] + e)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), r["shard"])), pa.array(np.full(len(t), r["sid"], dtype=np.int32)), pa.array(t), pa.array(lap), pa.array(place)], names=["shard", "sid", "slot", "lap", "block"])
-
-        self.slots = plan.repartition(max(1, min(n, len(runs)))).mapInArrow(number, "shard long, sid int, slot long, lap long, block long")
+                    sid, t = corrected.place(r["sid"], np.arange(r["first"], r["first"] + r["count"]))
+                    lap, place = t // blocks[sid], np.empty(len(t), dtype=np.int64)
+                    kind = np.stack((sid, lap))
+                    for i, e in np.unique(kind, axis=1).T.tolist():
+                        at = np.flatnonzero((sid == i) & (lap == e))
+                        place[at] = permuted(t[at] % blocks[i], int(blocks[i]), seed + 1_000_003 * i + e)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), r["shard"])), pa.array(sid), pa.array(t), pa.array(lap), pa.array(place)], names=["shard", "sid", "slot", "lap", "block"])
+
+        runs = plan.repartition(max(1, min(n, shards * len(sizes))), "shard", "sid")
+        self.slots = runs.mapInArrow(number, "shard long, sid int, slot long, lap long, block long")
         self.taken = self.slots.hint("merge").join(pieces.hint("merge"), ["sid", "block"])  # both are far larger than the tables they come from
 
 
@@ -183,11 +204,14 @@ def mixed_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", **opt
         for batch in batches:
             for table in steps(batch, text):
                 w = Words(table.column(text).combine_chunks())
-                out = []
-                for d, (starts, words) in enumerate(zip(table.column("__starts").to_pylist(), table.column("__words").to_pylist(), strict=True)):
-                    f = int(w.first[d])
-                    out.append(" ".join(w.text(i).decode() for s, n in zip(starts, words, strict=True) for i in range(f + s, f + s + n)))
-                columns = [pa.array(out, pa.string()) if c == text else table.column(c).combine_chunks() for c in names]
+                starts, sizes = (table.column(c).combine_chunks() for c in ("__starts", "__words"))
+                size = sizes.flatten().to_numpy()
+                doc = np.repeat(np.arange(table.num_rows), np.diff(starts.offsets.to_numpy()))
+                body, off = join_words(w, ranges(w.first[doc] + starts.flatten().to_numpy(), size))
+                ends = off[np.cumsum(np.bincount(doc, weights=size, minlength=table.num_rows)).astype(np.int64)]
+                body = np.delete(body, ends - 1)  # the space after a row's last word; every row has words
+                out = pa.LargeStringArray.from_buffers(table.num_rows, pa.py_buffer(np.concatenate(([0], ends - np.arange(1, len(ends) + 1)))), pa.py_buffer(np.ascontiguousarray(body))).cast(pa.string())
+                columns = [out if c == text else table.column(c).combine_chunks() for c in names]
                 yield from pa.Table.from_arrays(columns, names=names).to_batches()
 
     return met.mapInArrow(cut, df.schema)

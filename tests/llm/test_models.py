@@ -255,10 +255,46 @@ def test_targets_are_filled_by_weight():
 def test_permutation_and_shards():
     for n in (1, 2, 3, 17, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
-    slots = np.array([5000, 0, 30000, 1])
-    counts = mixing.shard_counts(slots, 3)
-    assert (counts.sum(axis=0) == slots).all() and (counts >= 0).all() and (counts == mixing.shard_counts(slots, 3)).all()
-    assert mixing.shard_counts(slots * 0, 3).shape == (0, 4)
+    slots = np.array([50000, 0, 30000, 1])
+    shards, _ = mixing.shards_of(int(slots.sum()))
+    draws = [mixing.drawn(s, slots, 3) for s in range(shards)]
+    assert sum(d.sum() for d in draws) == slots.sum() and all((d == mixing.drawn(s, slots, 3)).all() for s, d in enumerate(draws))
+    found = np.sum(draws, axis=0)
+    corrected = mixing.Corrected(found, slots, 3)
+    placed = [corrected.place(i, np.arange(found[i])) for i in range(4)]
+    sid, t = (np.concatenate(x) for x in zip(*placed, strict=True))
+    assert all(sorted(t[sid == i].tolist()) == list(range(slots[i])) for i in range(4))
+
+
+def mix_brute(spark, rows):
+    """Words taken of each (id, text, source) row, by plain loops over the same draws and permutations."""
+    order = {r.id: r.h for r in spark.createDataFrame([(r[0],) for r in rows], "id long").selectExpr("id", "shiftrightunsigned(xxhash64(id), 1) AS h").collect()}
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    line = {s: [i for h, i in sorted((order[r[0]], r[0]) for r in rows if r[2] == s) for _ in words(next(r[1] for r in rows if r[0] == i))] for s in sources}
+    sizes = [len(line[s]) for s in sources]
+    blocks, slots = mixing.quotas(np.array(sizes), np.array(mixing.targets(sizes)), mixing.BLOCK, mixing.CAP)
+    shards, _ = mixing.shards_of(int(slots.sum()))
+    found = sum(mixing.drawn(s, slots, mixing.SEED) for s in range(shards))
+    assert found.sum() == slots.sum()
+    taken = {r[0]: 0 for r in rows}
+    for i, s in enumerate(sources):
+        for t in range(slots[i]):
+            at = int(mixing.permuted(np.array([t % blocks[i]]), int(blocks[i]), mixing.SEED + 1_000_003 * i + t // int(blocks[i]))[0])
+            for doc in line[s][at * mixing.BLOCK : (at + 1) * mixing.BLOCK]:
+                taken[doc] += 1
+    return taken
+
+
+def test_mix_against_brute_force_in_any_layout(spark, random_docs):
+    rows, df = random_docs
+    want = mix_brute(spark, [(r[0], r[1], r[3]) for r in rows])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("4", "16", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.doc_id: r.taken for r in mixing.mix(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_mix_meets_targets_and_texts_match(spark, random_docs):
