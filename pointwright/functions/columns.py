@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,8 +100,16 @@ def rotated_y(x: Column, z: Column, angle: Column) -> tuple[Column, Column]:
     return x * F.cos(angle) - z * F.sin(angle), x * F.sin(angle) + z * F.cos(angle)
 
 
-def jittered(x: Column, sigma: float = 0.01, seed: int = 0) -> Column:
-    return x + F.randn(seed) * sigma
+def normal_number(pid: Column, salt: int = 0) -> Column:
+    """A fixed standard normal number for an id: two scrambled numbers by the Box-Muller transform."""
+    first = order_key(pid + F.lit(salt))
+    u, v = first / F.lit(2147483648.0), order_key(first) / F.lit(2147483648.0)
+    return F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-9)))) * F.cos(v * F.lit(2 * math.pi))
+
+
+def jittered(x: Column, pid: Column, sigma: float = 0.01, salt: int = 0) -> Column:
+    """A value with normal noise that is a fixed function of the point's id."""
+    return x + normal_number(pid, salt) * sigma
 
 
 def learning_rate(batch: Column, base: float, batch_size: int, decay_step: float, decay_rate: float, least: float | None = None) -> Column:

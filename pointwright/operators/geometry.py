@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spatial import radius_moments
+
 CLOUD = "cloud"
 TINY = 1.1754943508222875e-38
 
@@ -72,6 +74,19 @@ def intensity_variance(pairs: DataFrame, points: DataFrame, column: str = "inten
     return met.groupBy(CLOUD, "qid").agg((F.var_pop("__i") * F.count("*") / (F.count("*") + 1e-8)).alias("ivar"))
 
 
+def variance_around(data: DataFrame, queries: DataFrame, radius: float, column: str = "intensity") -> DataFrame:
+    """(cloud, qid, ivar): intensity_variance() of the points nearer than the radius, without a row for each pair."""
+    d = radius_moments(data, queries, radius, (column,))
+    return d.select(CLOUD, "qid", (F.col(f"c_{column}_{column}") / (F.col("n") + 1e-8)).alias("ivar"))
+
+
+def covariance_around(data: DataFrame, queries: DataFrame, radius: float, sample: bool = True) -> DataFrame:
+    """covariance() of the points nearer than the radius, without a row for each pair."""
+    d = radius_moments(data, queries, radius, ("x", "y", "z"))
+    by = F.col("n") - 1 if sample else F.col("n")
+    return d.select(CLOUD, "qid", "n", *[F.when(by > 0, F.col(f"c_{a}_{b}") / by).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")])
+
+
 def eigenvector(matrix: Column, index: Column) -> Column:
     """Column `index` of a matrix given as an array of rows."""
     return F.transform(matrix, lambda row: F.get(row, index))

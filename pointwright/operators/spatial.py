@@ -1,44 +1,157 @@
 """Neighbour searches as equi-joins on grid cells.
 
-Clouds are DataFrames with a cloud key, pid and x, y, z. A search within a radius joins the 27
-cells around a query with the points' cells and filters by distance, so work grows with the
-number of points near a query and Catalyst shuffles or broadcasts on (cloud, cell). A kNN search
-is a few radius searches of doubling size over the queries not yet settled.
+Clouds are DataFrames with a cloud key, pid and x, y, z. A search within a radius packs the points
+of a cell (in blocks of about BLOCK) into one row, joins each block of queries with the blocks of
+its 27 cells on (cloud, cell), and compares block with block in vectorised batches. What leaves
+them is what the search wants: the pairs, the first k of each query, or sums over its neighbours;
+no candidate pair is ever a row. A kNN search is a few radius searches of growing size over the
+queries not yet settled, from a size that the clouds' density gives.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointwright.functions.columns import XYZ, distance, order_key
+from pointwright.functions.columns import XYZ, order_key
 from pointwright.sources.scratch import scratch_dir
 
 CLOUD = "cloud"
+#: Points that a packed row holds, about; candidate pairs that are compared at once; bytes of an Arrow batch.
+BLOCK, AT_ONCE, BATCH_BYTES = 512, 1 << 20, 16 << 20
+CELL = [f"__{c}" for c in XYZ]
+
 
+def _blocks(points: DataFrame, size: float, name: str, columns: list[str]) -> DataFrame:
+    """A row for each block of a cell's points: cloud, cell and their columns as an array. Points without a place are in none."""
+    placed = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ))
+    placed = placed.select("*", *[F.floor(F.col(c) / size).alias(k) for c, k in zip(XYZ, CELL, strict=True)])
+    counts = placed.groupBy(CLOUD, *CELL).agg(F.count("*").alias("__c"))
+    block = F.lit(0).cast("long")
+    if (counts.agg(F.max("__c")).first()[0] or 0) > BLOCK:
+        crowded = counts.where(F.col("__c") > BLOCK)
+        placed = placed.join(crowded, [CLOUD, *CELL], "left")
+        block = F.pmod(F.xxhash64("pid"), F.coalesce(F.ceil(F.col("__c") / BLOCK), F.lit(1)).cast("long"))
+    return placed.withColumn("__block", block).groupBy(CLOUD, *CELL, "__block").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("__block")
 
-def _cells(df: DataFrame, size: float) -> DataFrame:
-    return df.select("*", *[F.floor(F.col(c) / size).alias(f"__{c}") for c in XYZ])
 
+def _around(blocks: DataFrame) -> DataFrame:
+    """Blocks of queries, once for each of the 27 cells that may hold points within a cell's size."""
+    for c in CELL:
+        blocks = blocks.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    return blocks
 
-def _around(queries: DataFrame, size: float) -> DataFrame:
-    """Queries with qid, once for each of the 27 cells that may hold points within `size`."""
-    q = queries.select(CLOUD, F.col("pid").alias("qid"), *[F.col(c).alias(f"q{c}") for c in XYZ])
-    for c in XYZ:
-        own = F.floor(F.col(f"q{c}") / size)
-        q = q.withColumn(f"__{c}", F.explode(F.array(own - 1, own, own + 1)))
-    return q
+
+def _searched(data: DataFrame, queries: DataFrame, radius: float, inclusive: bool, columns: list[str], finish: Callable, out: str) -> DataFrame:
+    """What finish(hits) gives for the pairs within the radius, batch by batch: columns named in `out` beside the cloud.
+
+    finish takes a dictionary: q and d (fields of queries and points), qi and di (their places in
+    each pair found) and dist; it gives the place of a query for each row, and the rows' columns.
+    """
+    data.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    theirs = _blocks(data.select(CLOUD, "pid", *[c for c in [*XYZ, *columns] if c != "pid"]), radius, "__d", ["pid", *XYZ, *[c for c in columns if c not in ("pid", *XYZ)]])
+    ours = _around(_blocks(queries.select(CLOUD, "pid", *XYZ), radius, "__q", ["pid", *XYZ]))
+    met = ours.join(theirs, [CLOUD, *CELL]).select(CLOUD, "__q", "__d")
+    names = [n.strip().split(" ")[0] for n in out.split(",")]
+
+    def fields(lists: pa.ListArray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        flat = lists.flatten()
+        return {flat.type.field(i).name: flat.field(i) for i in range(flat.type.num_fields)}, lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (q, qo), (d, do) = fields(batch.column("__q")), fields(batch.column("__d"))
+            a, b = (np.stack([x[c].to_numpy(zero_copy_only=False).astype(float) for c in XYZ]) for x in (q, d))
+            nq, nd = np.diff(qo).astype(np.int64), np.diff(do).astype(np.int64)
+            pairs = nq * nd
+            ends, at, found = np.cumsum(pairs), 0, []
+            while at < len(pairs):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+                each = np.repeat(np.arange(at, to), nq[at:to])  # a query of a row; then its points
+                qi = np.arange(qo[at], qo[to])
+                many = nd[each]
+                start = np.concatenate(([0], np.cumsum(many)))
+                qi = np.repeat(qi, many)
+                di = np.arange(start[-1]) + np.repeat(do[each] - start[:-1], many)
+                x, y, z = (b[i][di] - a[i][qi] for i in range(3))
+                dist = np.sqrt(x * x + y * y + z * z)
+                hit = np.flatnonzero(dist <= radius if inclusive else dist < radius)
+                found.append((qi[hit], di[hit], dist[hit]))
+                at = to
+            if not found:
+                continue
+            qi, di, dist = (np.concatenate(x) for x in zip(*found, strict=True))
+            who, rows = finish({"q": q, "d": d, "qi": qi, "di": di, "dist": dist})
+            row = np.searchsorted(qo, who, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(CLOUD).take(pa.array(row)), *rows], names=[CLOUD, *names])
+
+    return met.mapInArrow(run, f"{CLOUD} {data.schema[CLOUD].dataType.simpleString()}, {out}")
 
 
 def radius_join(data: DataFrame, queries: DataFrame, radius: float, inclusive: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(cloud, qid, nid, dist) and the kept columns of data, for every point of data nearer than the radius to a query of its cloud.
 
-    Keeping a column saves the join of all pairs with the points that would fetch it.
+    Keeping a column saves the join of all pairs with the points that would fetch it. Points with
+    a null coordinate are near nothing.
+    """
+
+    def finish(hits: dict) -> tuple[np.ndarray, list]:
+        di = pa.array(hits["di"])
+        return hits["qi"], [hits["q"]["pid"].take(pa.array(hits["qi"])), hits["d"]["pid"].take(di), pa.array(hits["dist"]), *[hits["d"][c].take(di) for c in keep]]
+
+    kept = "".join(f", {c} {data.schema[c].dataType.simpleString()}" for c in keep)
+    return _searched(data, queries, radius, inclusive, list(keep), finish, f"qid long, nid long, dist double{kept}")
+
+
+def radius_moments(data: DataFrame, queries: DataFrame, radius: float, columns: tuple[str, ...]) -> DataFrame:
+    """(cloud, qid, n, and c_<a>_<b> for columns a <= b in their order): number, and sums of products about the mean, of the points nearer than the radius.
+
+    Points with a null or NaN in one of the columns do not count; queries without any have no row.
     """
-    p = _cells(data.select(CLOUD, F.col("pid").alias("nid"), *XYZ, *[c for c in keep if c not in XYZ]), radius)
-    met = _around(queries, radius).join(p, [CLOUD, *[f"__{c}" for c in XYZ]])
-    met = met.select(CLOUD, "qid", "nid", distance([F.col(c) for c in XYZ], [F.col(f"q{c}") for c in XYZ]).alias("dist"), *keep)
-    return met.where(F.col("dist") <= radius if inclusive else F.col("dist") < radius)
+    k = len(columns)
+    two = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def finish(hits: dict) -> tuple[np.ndarray, list]:
+        v = np.stack([hits["d"][c].to_numpy(zero_copy_only=False).astype(float) for c in columns])[:, hits["di"]]
+        some = ~np.isnan(v).any(axis=0)
+        v, qi, n = v[:, some], hits["qi"][some], len(hits["q"]["pid"])
+        count = np.bincount(qi, minlength=n)
+        who = np.flatnonzero(count)
+        mean = np.stack([np.bincount(qi, weights=x, minlength=n) for x in v]) / np.maximum(count, 1)
+        v = v - mean[:, qi]  # about the block's mean: no cancellation
+        off = [np.bincount(qi, weights=v[i] * v[j], minlength=n)[who] for i, j in two]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.stack(x, axis=1).ravel()), len(x)).cast(pa.list_(pa.float64())) for x in (mean[:, who], off)]
+        return who, [hits["q"]["pid"].take(pa.array(who)), pa.array(count[who]), *lists]
+
+    parts = _searched(data, queries, radius, False, list(columns), finish, "qid long, c long, m array<double>, s array<double>")
+    # products about the whole mean are those about each part's mean and the parts' own
+    means = [(F.sum(F.col("c") * F.col("m")[i]) / F.sum("c")).alias(f"m{i}") for i in range(k)]
+    whole = parts.groupBy(CLOUD, "qid").agg(F.sum("c").alias("n"), *means, F.collect_list(F.struct("c", "m", "s")).alias("__p"))
+
+    def about(at: int, i: int, j: int):
+        return F.aggregate("__p", F.lit(0.0), lambda total, p: total + p["s"][at] + p["c"] * (p["m"][i] - F.col(f"m{i}")) * (p["m"][j] - F.col(f"m{j}")))
+
+    return whole.select(CLOUD, "qid", "n", *[about(at, i, j).alias(f"c_{columns[i]}_{columns[j]}") for at, (i, j) in enumerate(two)])
+
+
+def first_in_ball(data: DataFrame, queries: DataFrame, radius: float, k: int) -> DataFrame:
+    """(cloud, qid, nid): pairs within the radius that hold the first k of each query in the fixed scrambled order (k for each pair of blocks)."""
+
+    def finish(hits: dict) -> tuple[np.ndarray, list]:
+        nid = hits["d"]["pid"].to_numpy()[hits["di"]]
+        key = hits["d"]["__key"].to_numpy()[hits["di"]]
+        order = np.lexsort((nid, key, hits["qi"]))
+        qi = hits["qi"][order]
+        first = np.searchsorted(qi, qi)
+        kept = order[np.arange(len(qi)) - first < k]
+        who = hits["qi"][kept]
+        return who, [hits["q"]["pid"].take(pa.array(who)), pa.array(nid[kept])]
+
+    return _searched(data.withColumn("__key", order_key(F.col("pid")).cast("long")), queries, radius, False, ["__key"], finish, "qid long, nid long")
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -47,34 +160,61 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("pos", (F.row_number().over(order) - 1).cast("int")).where(F.col("pos") < k)
 
 
+def nearest_within(data: DataFrame, queries: DataFrame, radius: float, k: int) -> DataFrame:
+    """(cloud, qid, nid, dist, pos) of the k nearest within the radius, itself included: k for each pair of blocks, then k of each query."""
+
+    def finish(hits: dict) -> tuple[np.ndarray, list]:
+        nid = hits["d"]["pid"].to_numpy()[hits["di"]]
+        order = np.lexsort((nid, hits["dist"], hits["qi"]))
+        qi = hits["qi"][order]
+        kept = order[np.arange(len(qi)) - np.searchsorted(qi, qi) < k]
+        who = hits["qi"][kept]
+        return who, [hits["q"]["pid"].take(pa.array(who)), pa.array(nid[kept]), pa.array(hits["dist"][kept])]
+
+    return nearest(_searched(data, queries, radius, True, [], finish, "qid long, nid long, dist double"), k)
+
+
+#: Halvings of the clouds' extent among which a kNN search looks for its first cell size.
+HALVINGS = 24
+
+
+def start_size(data: DataFrame, k: int, most: float) -> float:
+    """The smallest cell size (of most / 2^i) at which a point's own cell has about k / 4 points on average over occupied cells, by one pass of sketches: stray points add a cell each and do not move it."""
+    sizes = [most / 2**i for i in range(HALVINGS)]
+    cells = [F.approx_count_distinct(F.xxhash64(CLOUD, *[F.floor(F.col(c) / s) for c in XYZ])).alias(f"c{i}") for i, s in enumerate(sizes)]
+    got = data.agg(F.count("*").alias("n"), *cells).first()
+    return min([s for i, s in enumerate(sizes) if got.n >= got[f"c{i}"] * max(1.0, k / 4)], default=most)
+
+
 def knn_join(data: DataFrame, queries: DataFrame, k: int, start: float | None = None) -> DataFrame:
     """(cloud, qid, nid, dist, pos): the k nearest points of data for each query, itself included where data has it.
 
     Exact. A query is settled at a cell size once it has k points within that size; the rest go on
-    with twice the size, until a cell spans the data. A query of a cloud that data lacks has none.
+    with twice, then four times the size, until a cell spans the data. A query of a cloud that
+    data lacks has none.
     """
-    extent = data.groupBy(CLOUD).agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).agg(F.max(F.greatest(*XYZ)).alias("most"), F.max("n").alias("n"), F.avg(F.col("x") * F.col("y") * F.col("z")).alias("v")).first()
-    if extent.most is None:
-        return radius_join(data, queries, 1.0).withColumn("pos", F.lit(0).cast("int"))
-    far = queries.join(data.groupBy(CLOUD).agg(*[F.min(c).alias(f"l{c}") for c in XYZ], *[F.max(c).alias(f"h{c}") for c in XYZ]), CLOUD)
-    spread = far.agg(F.max(F.greatest(*[F.greatest(F.abs(F.col(c) - F.col(f"l{c}")), F.abs(F.col(c) - F.col(f"h{c}"))) for c in XYZ]))).first()[0]
-    most = max(extent.most, spread or 0.0, 1e-9) * 1.001
-    size = start or min(most, max(most / 4096, (2.0 * (extent.v or 0.0) * k / max(1, extent.n)) ** (1 / 3)))
-    pending, settled = queries.select(CLOUD, "pid", *XYZ), None
+    low_high = [f(c).alias(f"{p}{c}") for c in XYZ for p, f in (("l", F.min), ("h", F.max))]
+    bounds = data.groupBy(CLOUD).agg(*low_high)
+    far = queries.join(bounds, CLOUD).agg(F.max(F.greatest(*[F.greatest(F.abs(F.col(c) - F.col(f"l{c}")), F.abs(F.col(c) - F.col(f"h{c}"))) for c in XYZ]))).first()[0]
+    wide = bounds.agg(F.max(F.greatest(*[F.col(f"h{c}") - F.col(f"l{c}") for c in XYZ]))).first()[0]
+    if wide is None or far is None:
+        return nearest_within(data, queries.limit(0), 1.0, k)
+    most = max(wide, far, 1e-9) * 1.001
+    size = start or start_size(data, k, most)
+    pending, settled, factor = queries.select(CLOUD, "pid", *XYZ), None, 2
     while True:
         last = size >= most
         # cells of the whole spread hold every point within any query's reach: all pairs count then
-        got = radius_join(data, pending, 2 * most if last else size, inclusive=True)
-        best = nearest(got, k)
+        best = nearest_within(data, pending, 2 * most if last else size, k)
         if last:
             return best if settled is None else settled.unionByName(best)
         # written, so that a level's plan does not hold the plans of all levels before it
         done = _written(best.withColumn("__n", F.count("*").over(Window.partitionBy(CLOUD, "qid"))).where(F.col("__n") >= k).drop("__n"))
         settled = done if settled is None else settled.unionByName(done)
-        pending = _written(pending.join(done.select(CLOUD, F.col("qid").alias("pid")).distinct(), [CLOUD, "pid"], "left_anti"))
+        pending = _written(pending.join(done.where("pos = 0").select(CLOUD, F.col("qid").alias("pid")), [CLOUD, "pid"], "left_anti"))
         if pending.isEmpty():
             return settled
-        size *= 2
+        size, factor = min(size * factor, most), 4
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -94,21 +234,19 @@ def padded(pairs: DataFrame, k: int, order: list) -> DataFrame:
 
 def ball_query(data: DataFrame, queries: DataFrame, radius: float, k: int) -> DataFrame:
     """The first k points nearer than the radius, in the fixed scrambled order; padded with the first."""
-    return padded(radius_join(data, queries, radius), k, [order_key(F.col("nid")), "nid"])
+    return padded(first_in_ball(data, queries, radius, k), k, [order_key(F.col("nid")), "nid"])
 
 
 def ball_knn(data: DataFrame, queries: DataFrame, radius: float, k: int) -> DataFrame:
     """k points of the ball in the scrambled order where it has so many, else the k nearest; padded with the first."""
-    ball = radius_join(data, queries, radius)
-    enough = ball.groupBy(CLOUD, "qid").agg(F.count("*").alias("c")).where(F.col("c") >= k).select(CLOUD, "qid")
-    inside = padded(ball.join(enough, [CLOUD, "qid"], "left_semi"), k, [order_key(F.col("nid")), "nid"])
-    rest = queries.join(enough.withColumnRenamed("qid", "pid"), [CLOUD, "pid"], "left_anti")
+    inside = _written(ball_query(data, queries, radius, k).where(F.col("cnt") == k))
+    rest = _written(queries.join(inside.where("pos = 0").select(CLOUD, F.col("qid").alias("pid")), [CLOUD, "pid"], "left_anti"))
     return inside.unionByName(padded(knn_join(data, rest, k), k, ["dist", "nid"]))
 
 
 def radius_or_knn(data: DataFrame, queries: DataFrame, radius: float, k: int) -> DataFrame:
     """(cloud, qid, nid, dist): all points in the radius where there are more than k, else the k nearest."""
-    ball = radius_join(data, queries, radius)
-    many = ball.groupBy(CLOUD, "qid").agg(F.count("*").alias("c")).where(F.col("c") > k).select(CLOUD, "qid")
-    rest = queries.join(many.withColumnRenamed("qid", "pid"), [CLOUD, "pid"], "left_anti")
+    ball = _written(radius_join(data, queries, radius))
+    many = _written(ball.groupBy(CLOUD, "qid").agg(F.count("*").alias("c")).where(F.col("c") > k).select(CLOUD, "qid"))
+    rest = _written(queries.join(many.withColumnRenamed("qid", "pid"), [CLOUD, "pid"], "left_anti"))
     return ball.join(many, [CLOUD, "qid"], "left_semi").unionByName(knn_join(data, rest, k).drop("pos"))

@@ -56,10 +56,10 @@ def j3(spark, sf):
     return spatial.knn_join(v, v, 3).select("cloud", "qid", "nid", *R("dist"), "pos")
 
 
-@query("j3_knn_scenes", f"WITH {CLOUD}, pairs AS ({_near('cloud', 'q.pid % 7 = 0')}), ranked AS (SELECT *, row_number() OVER (PARTITION BY cloud, qid ORDER BY dist, nid) AS k FROM pairs) SELECT cloud, qid, nid, round(dist, 6) AS dist, CAST(k - 1 AS INTEGER) AS pos FROM ranked WHERE k <= 12")
+@query("j3_knn_scenes", f"WITH {CLOUD}, pairs AS ({_near('cloud')}), ranked AS (SELECT *, row_number() OVER (PARTITION BY cloud, qid ORDER BY dist, nid) AS k FROM pairs) SELECT cloud, qid, nid, round(dist, 6) AS dist, CAST(k - 1 AS INTEGER) AS pos FROM ranked WHERE k <= 12")
 def j3_scenes(spark, sf):
     c = tables.scene_cloud(spark, sf)
-    return spatial.knn_join(c, c.where("pid % 7 = 0"), 12).select("cloud", "qid", "nid", *R("dist"), "pos")
+    return spatial.knn_join(c, c, 12).select("cloud", "qid", "nid", *R("dist"), "pos")
 
 
 @query("j4_radius_or_knn", f"WITH {VKNN} SELECT cloud, qid, nid, round(dist, 6) AS dist FROM ranked WHERE CASE WHEN hits > 21 THEN dist < 0.15 ELSE k <= 21 END")
@@ -76,10 +76,12 @@ f AS (SELECT t.{k}, t.pid, t.x, t.y, t.z, 1 AS step, s.pid AS sel, (t.x - s.x) *
  SELECT {k}, pid, x, y, z, step + 1, nsel, least(far, (x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) FROM (
   SELECT *, first_value(pid) OVER w AS nsel, first_value(x) OVER w AS sx, first_value(y) OVER w AS sy, first_value(z) OVER w AS sz FROM f WHERE step < {m} WINDOW w AS (PARTITION BY {k} ORDER BY far DESC, pid))),
 n AS (SELECT {k}, count(*) AS n FROM {t} GROUP BY {k})"""
+#: Picks that a quarter of the largest cloud needs.
+QUARTER = "(SELECT CAST(ceil(max(c) / 4.0) AS BIGINT) FROM (SELECT count(*) AS c FROM vec GROUP BY cloud))"
 LABELLED = VECTOR.replace("'all' AS cloud", "CAST(label AS VARCHAR) AS cloud")
 
 
-@query("t1_farthest_points", f"WITH RECURSIVE {LABELLED}, {FPS.format(k='cloud', t='vec', m=64)} SELECT DISTINCT f.cloud, sel AS pid, CAST(step - 1 AS INTEGER) AS pos FROM f JOIN n ON n.cloud = f.cloud WHERE step <= ceil(n / 4.0)")
+@query("t1_farthest_points", f"WITH RECURSIVE {LABELLED}, {FPS.format(k='cloud', t='vec', m=QUARTER)} SELECT DISTINCT f.cloud, sel AS pid, CAST(step - 1 AS INTEGER) AS pos FROM f JOIN n ON n.cloud = f.cloud WHERE step <= ceil(n / 4.0)")
 def t1(spark, sf):
     return sampling.fps(tables.vector_cloud(spark, sf, by_label=True), stride=4)
 
@@ -150,6 +152,25 @@ def t4(spark, sf):
     return t.groupBy("cloud", "i", "j").agg(F.count("*").alias("n")).where("n >= 100")
 
 
+@query(
+    "t3_t4_t6_sampled_blocks",
+    f"""WITH RECURSIVE {CLOUD}, t AS ({TILE.format(t='cloud')}), vec AS (SELECT cloud || '/' || i || '/' || j AS cloud, pid, x, y, z, r FROM t WHERE (cloud, i, j) IN (SELECT (cloud, i, j) FROM t GROUP BY ALL HAVING count(*) >= 20)), {FPS.format(k='cloud', t='vec', m=30)}, sized AS (SELECT cloud, count(*) AS n, min(pid) AS p FROM vec GROUP BY cloud),
+picked AS (SELECT DISTINCT f.cloud, CAST(step - 1 AS INTEGER) AS slot, sel AS pid FROM f JOIN sized s ON s.cloud = f.cloud WHERE s.n > 30
+UNION ALL SELECT v.cloud, CAST(row_number() OVER (PARTITION BY v.cloud ORDER BY v.pid) - 1 AS INTEGER), v.pid FROM vec v JOIN sized s ON s.cloud = v.cloud WHERE s.n <= 30
+UNION ALL SELECT cloud, CAST(r AS INTEGER), p FROM sized, (SELECT range AS r FROM range(30)) WHERE n < 30 AND r >= n)
+SELECT p.cloud AS block, slot, v.pid, round(x - avg(x) OVER b, 6) + 0.0 AS x, round(y - avg(y) OVER b, 6) + 0.0 AS y, round(z - min(z) OVER b, 6) + 0.0 AS z, round(r / 255.0, 6) AS r FROM picked p JOIN vec v ON v.cloud = p.cloud AND v.pid = p.pid WINDOW b AS (PARTITION BY p.cloud)""",
+)
+def t4_sampled(spark, sf):
+    """Scenes to training blocks: tiles of enough points, exactly 30 points of each, features about the block."""
+    c = tables.scene_cloud(spark, sf)
+    t = tiling.at_least(tiling.tiles(c, 1.2, 0.5), ("cloud", "i", "j"), 20)
+    block = F.concat_ws("/", "cloud", F.col("i").cast("string"), F.col("j").cast("string"))
+    t = t.select(block.alias("cloud"), "pid", "x", "y", "z", (F.col("r") / F.lit(255.0)).alias("r"))
+    rows = sampling.block_sample(t, 30).join(t, ["cloud", "pid"])
+    rows = tiling.zero_mean(rows, ("cloud",)).withColumn("z", F.col("z") - F.min("z").over(Window.partitionBy("cloud")))
+    return rows.select(F.col("cloud").alias("block"), "slot", "pid", *R("x", "y", "z"), F.round("r", 6).alias("r"))
+
+
 @query("t5_phased_tiles", f"WITH {CLOUD}, m AS (SELECT cloud, pid, x + dx AS x, y + dy AS y, CAST(p AS INTEGER) AS phase FROM cloud, (VALUES (0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)), (1, CAST(0.6 AS DOUBLE), CAST(0 AS DOUBLE)), (2, CAST(0.6 AS DOUBLE), CAST(0.6 AS DOUBLE)), (3, CAST(0 AS DOUBLE), CAST(0.6 AS DOUBLE))) s(p, dx, dy)), t AS ({TILE.format(t='m')}) SELECT cloud, phase, i, j, count(*) AS n, CAST(sum({INNER}) AS BIGINT) AS inside FROM t GROUP BY ALL")
 def t5(spark, sf):
     t = tiling.phased_tiles(tables.scene_cloud(spark, sf), 1.2, 0.5, 0.6)
@@ -205,10 +226,10 @@ def a21(spark, sf):
     return tables.scene_cloud(spark, sf).groupBy("cloud").agg(*[f(c).alias(f"{c}{i}") for c in "xyz" for i, f in ((0, F.min), (1, F.max))])
 
 
-@query("a20_unique_ids", f"WITH {BALL} SELECT DISTINCT cloud, nid AS pid FROM ball WHERE qid % 11 = 0")
+@query("a20_unique_ids", f"WITH {BALL} SELECT DISTINCT cloud, nid AS pid FROM ball")
 def a20(spark, sf):
     c = tables.scene_cloud(spark, sf)
-    return spatial.radius_join(c, c.where("pid % 11 = 0"), 0.4).select("cloud", F.col("nid").alias("pid")).distinct()
+    return spatial.radius_join(c, c, 0.4).select("cloud", F.col("nid").alias("pid")).distinct()
 
 
 # Projections and orders
@@ -265,9 +286,14 @@ def f5(spark, sf):
     return tables.scene_cloud(spark, sf).select("pid", F.round(F.col("x") + (u * 0.2 - 0.1), 6).alias("shifted"), F.round(F.col("x") * (0.8 + u * 0.4), 6).alias("scaled"))
 
 
-@query("f4_jitter")
+def _jitter(c: str, salt: int) -> str:
+    first = key(f"(pid + {salt})")
+    return f"round({c} + sqrt(-2 * ln(greatest({first} / 2147483648.0, 1e-9))) * cos({key(first)} / 2147483648.0 * {2 * math.pi}) * 0.01, 6) AS {c}"
+
+
+@query("f4_jitter", f"WITH {CLOUD} SELECT pid, {', '.join(_jitter(c, i) for i, c in enumerate('xyz'))} FROM cloud")
 def f4(spark, sf):
-    return tables.scene_cloud(spark, sf).select("pid", *[jittered(F.col(c), 0.01, i).alias(c) for i, c in enumerate("xyz")])
+    return tables.scene_cloud(spark, sf).select("pid", *[F.round(jittered(F.col(c), F.col("pid"), 0.01, i), 6).alias(c) for i, c in enumerate("xyz")])
 
 
 @query("f7_distances", f"WITH {CLOUD} SELECT a.pid, round(greatest(sqrt({squared('a', 'b')}), 1e-20), 6) AS d, round({squared('a', 'b')}, 6) AS d2 FROM cloud a JOIN cloud b ON b.pid = a.pid - a.pid % 10 AND b.cloud = a.cloud")
@@ -282,6 +308,7 @@ def f7(spark, sf):
 # Local geometry (A-1 - A-5, J10, J11)
 
 COV = """cov AS (SELECT p.cloud, qid, count(*) AS n, covar_samp(x, x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, y) AS yy, covar_samp(y, z) AS yz, covar_samp(z, z) AS zz FROM ({p}) p JOIN {t} t ON t.cloud = p.cloud AND t.pid = p.nid GROUP BY ALL)"""
+NEAR_SQL = f"sqrt({squared('d', 'q')}) < 0.35"
 EIGEN = """q AS (SELECT *, (xx + yy + zz) / 3 AS m FROM cov), p AS (SELECT *, sqrt(((xx - m) * (xx - m) + (yy - m) * (yy - m) + (zz - m) * (zz - m) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
 s AS (SELECT *, CASE WHEN p > 0 THEN p ELSE 1.0 END AS s FROM p), t AS (SELECT *, (xx - m) / s AS a, (yy - m) / s AS b2, (zz - m) / s AS c, xy / s AS e, xz / s AS f, yz / s AS g FROM s),
 h AS (SELECT *, acos(greatest(-1.0, least(1.0, (a * (b2 * c - g * g) - e * (e * c - g * f) + f * (e * g - b2 * f)) / 2))) / 3 AS h FROM t),
@@ -322,7 +349,16 @@ def a3(spark, sf):
 @query("a4_intensity_variance", f"WITH {EVENTS}, n AS (SELECT * FROM ({_near('ev', 'abs(q.x - d.x) < 0.35 AND abs(q.y - d.y) < 0.35')}) WHERE dist < 0.35) SELECT n.cloud, qid, round(var_pop(intensity) * count(*) / (count(*) + 1e-8), 4) AS ivar FROM n JOIN ev ON ev.cloud = n.cloud AND ev.pid = n.nid GROUP BY ALL")
 def a4(spark, sf):
     e = tables.intensity_cloud(spark, sf)
-    return geometry.intensity_variance(spatial.radius_join(e, e, 0.35, keep=("intensity",)), e).select("cloud", "qid", F.round("ivar", 4).alias("ivar"))
+    return geometry.variance_around(e, e, 0.35).select("cloud", "qid", F.round("ivar", 4).alias("ivar"))
+
+
+@query("a4_eigenvalues", f"WITH {EVENTS}, {COV.format(p=_near('ev', 'abs(q.x - d.x) < 0.35 AND abs(q.y - d.y) < 0.35 AND ' + NEAR_SQL), t='ev')}, {EIGEN} SELECT cloud, qid, n, round(abs(l1 / sqrt(l1 * l1 + l2 * l2 + l3 * l3)), 4) AS e1, round(abs(l3 / sqrt(l1 * l1 + l2 * l2 + l3 * l3)), 4) AS e3 FROM eig WHERE n > 20")
+def a4_eigen(spark, sf):
+    """Eigenvalues of the same neighbourhoods as the intensity's variance, of points with over 20 neighbours."""
+    e = tables.intensity_cloud(spark, sf)
+    d = geometry.eigen(geometry.covariance_around(e, e, 0.35).where("n > 20"))
+    size = F.sqrt(F.col("l1") * F.col("l1") + F.col("l2") * F.col("l2") + F.col("l3") * F.col("l3"))
+    return d.select("cloud", "qid", "n", *[F.round(F.abs(F.col(f"l{i}") / size), 4).alias(f"e{i}") for i in (1, 3)])
 
 
 @query("a5_covariance_nine", f"WITH {VKNN}, c AS (SELECT qid, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM ranked JOIN vec ON vec.pid = nid WHERE k <= 12 GROUP BY qid) SELECT qid, round(xx, 6) + 0.0 AS c0, round(xy, 6) + 0.0 AS c1, round(xz, 6) + 0.0 AS c2, round(xy, 6) + 0.0 AS c3, round(yy, 6) + 0.0 AS c4, round(yz, 6) + 0.0 AS c5, round(xz, 6) + 0.0 AS c6, round(yz, 6) + 0.0 AS c7, round(zz, 6) + 0.0 AS c8 FROM c")
@@ -347,6 +383,21 @@ def j11(spark, sf):
     return c.withColumn("uid", F.col("pid") - F.col("pid") % 10).join(u, ["cloud", "uid"]).select("cloud", "pid", F.round("f", 6).alias("f"))
 
 
+@query("j12_mapped_eigen_features", f"WITH {VKNN}, {COV.format(p=NEAR21 + ' AND qid % 4 = 0', t='vec')}, {EIGEN}, i AS (SELECT pid, pid - pid % 4 AS u FROM vec) SELECT i.pid, n, round(l1, 6) AS l1, round(l2, 6) AS l2, round(l3, 6) AS l3 FROM i JOIN eig ON eig.qid = i.u")
+def j12(spark, sf):
+    """Raw eigenvalues of distinct points brought back to every sample that names them."""
+    v = tables.vector_cloud(spark, sf)
+    ids = v.select("cloud", "pid", (F.col("pid") - F.col("pid") % 4).alias("qid"))
+    distinct = ids.select("cloud", F.col("qid").alias("pid")).distinct().join(v, ["cloud", "pid"])
+    d = geometry.eigen(geometry.covariance(spatial.radius_or_knn(v, distinct, 0.15, 21), v))
+    return ids.join(d, ["cloud", "qid"]).select("pid", "n", *[F.round(f"l{i}", 6).alias(f"l{i}") for i in (1, 2, 3)])
+
+
+@query("p1_selected_columns", f"WITH {CLOUD} SELECT cloud, pid, x, y, z, label FROM cloud")
+def p1(spark, sf):
+    return tables.scene_cloud(spark, sf).select("cloud", "pid", "x", "y", "z", "label")
+
+
 @query("d1_order_key", f"WITH {CLOUD} SELECT pid, {key('pid')} AS k FROM cloud")
 def d1(spark, sf):
     return tables.scene_cloud(spark, sf).select("pid", order_key(F.col("pid")).alias("k"))

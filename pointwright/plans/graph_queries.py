@@ -11,6 +11,13 @@ from pointwright.sources import tables
 from .cloud_queries import BALL, FPS, LABELLED, VKNN, R
 from .registry import CLOUD, VECTOR, key, query, squared
 
+_MAP = lambda rows, columns: [[((i * 7 + o * 3) % 5 - 2) / 4 for o in range(columns)] for i in range(rows)]
+#: Weights of a small network: attention of two levels, the way up, the head.
+NETWORK = (
+    [([(_MAP(3, 2), [0.0, 0.1])], [(_MAP(n, 2), [0.1, 0.0])], [(_MAP(2, 1), [0.0])], [(_MAP(3, 4), [0.0, 0.1, 0.2, 0.3], "plain")]) for n in (4, 4)],
+    [[(_MAP(8, 3), [0.0, 0.1, -0.1])]],
+    [(_MAP(3, 4), [0.1] * 4), (_MAP(4, 3), [0.0, 0.1, 0.2], "plain")],
+)
 KNN6 = f"{VKNN}, edges AS (SELECT cloud, qid, k - 1 AS pos, nid, dist FROM ranked WHERE k <= 6)"
 
 
@@ -67,10 +74,10 @@ def a7(spark, sf):
     return met.groupBy("qid").agg(*[F.round(F.sum(F.col(f"{c}_w") * F.col(c)), 6).alias(c) for c in ("r", "g")])
 
 
-@query("n1_build_graph", f"WITH {BALL}, f AS (SELECT *, row_number() OVER (PARTITION BY cloud, qid ORDER BY {key('nid')}, nid) AS k FROM ball WHERE qid % 3 = 0) SELECT cloud, qid, count(*) AS n, min(nid) AS lo, max(nid) AS hi FROM f WHERE k <= 12 GROUP BY ALL")
+@query("n1_build_graph", f"WITH {BALL}, f AS (SELECT *, row_number() OVER (PARTITION BY cloud, qid ORDER BY {key('nid')}, nid) AS k FROM ball) SELECT cloud, qid, count(*) AS n, min(nid) AS lo, max(nid) AS hi FROM f WHERE k <= 12 GROUP BY ALL")
 def n1(spark, sf):
     c = tables.scene_cloud(spark, sf)
-    e = spatial.ball_query(c, c.where("pid % 3 = 0"), 0.4, 12).where("pos < cnt")
+    e = spatial.ball_query(c, c, 0.4, 12).where("pos < cnt")
     return e.groupBy("cloud", "qid").agg(F.count("*").alias("n"), F.min("nid").alias("lo"), F.max("nid").alias("hi"))
 
 
@@ -81,19 +88,38 @@ def n2(spark, sf):
     return e.groupBy("cloud", "qid").agg(F.count("*").alias("n"), F.min("nid").alias("lo"))
 
 
-def _pyramid_sql() -> str:
-    """Two levels: all points, and a quarter of them, with balls of 0.2 and 0.4."""
-    edges = lambda level, t, r, k: f"SELECT {level} AS level, cloud, qid, count(*) AS n FROM (SELECT q.cloud, q.pid AS qid, row_number() OVER (PARTITION BY q.cloud, q.pid ORDER BY {key('d.pid')}, d.pid) AS k FROM {t} q JOIN {t} d ON d.cloud = q.cloud WHERE sqrt({squared('d', 'q')}) < {r}) WHERE k <= {k} GROUP BY ALL"
-    return f"WITH RECURSIVE {LABELLED}, {FPS.format(k='cloud', t='vec', m=64)}, s AS (SELECT DISTINCT f.cloud, sel AS pid FROM f JOIN n ON n.cloud = f.cloud WHERE step <= ceil(n / 4.0)), v1 AS (SELECT vec.* FROM vec JOIN s ON s.cloud = vec.cloud AND s.pid = vec.pid) {edges(0, 'vec', 0.2, 12)} UNION ALL {edges(1, 'v1', 0.4, 21)}"
+#: Strides, radii and neighbours of the five levels.
+LEVELS = [(4, 0.1, 12), (4, 0.2, 21), (4, 0.4, 21), (2, 0.8, 21), (1, 1.6, 12)]
 
 
-@query("n3_graph_pyramid", _pyramid_sql())
+def _pyramid_sql(levels: list[tuple[int, float, int]]) -> str:
+    """A recursion for each level that thins the points of the one before it, and the balls of every level."""
+    tables_, t = [LABELLED], "vec"
+    picks = FPS.replace("first", "first{i}").replace("f AS", "f{i} AS").replace("FROM f WHERE", "FROM f{i} WHERE").replace("n AS (SELECT {k}, count", "n{i} AS (SELECT {k}, count").replace("JOIN first{i} USING", "JOIN first{i} USING").replace("first{i}_value", "first_value")
+    out = []
+    for i, (stride, radius, k) in enumerate(levels):
+        out.append(f"SELECT {i} AS level, cloud, qid, count(*) AS n FROM (SELECT q.cloud, q.pid AS qid, row_number() OVER (PARTITION BY q.cloud, q.pid ORDER BY {key('d.pid')}, d.pid) AS k FROM {t} q JOIN {t} d ON d.cloud = q.cloud WHERE sqrt({squared('d', 'q')}) < {radius}) WHERE k <= {k} GROUP BY ALL")
+        if stride > 1:
+            tables_.append(picks.format(i=i, k="cloud", t=t, m=f"(SELECT CAST(ceil(max(c) / {stride}.0) AS BIGINT) FROM (SELECT count(*) AS c FROM {t} GROUP BY cloud))"))
+            tables_.append(f"v{i} AS (SELECT p.* FROM {t} p JOIN (SELECT DISTINCT f{i}.cloud, sel AS pid FROM f{i} JOIN n{i} ON n{i}.cloud = f{i}.cloud WHERE step <= ceil(n / {stride}.0)) s ON s.cloud = p.cloud AND s.pid = p.pid)")
+            t = f"v{i}"
+    return f"WITH RECURSIVE {', '.join(tables_)} {' UNION ALL '.join(out)}"
+
+
+@query("n3_graph_pyramid", _pyramid_sql(LEVELS))
 def n3(spark, sf):
     v = tables.vector_cloud(spark, sf, by_label=True)
-    e = graph.pyramid(v, [(4, 0.2, 12), (1, 0.4, 21)]).where("pos < cnt")
+    e = graph.pyramid(v, LEVELS).where("pos < cnt")
     return e.groupBy("level", "cloud", "qid").agg(F.count("*").alias("n"))
 
 
+@query("n10_network")
+def n10(spark, sf):
+    """Class scores of every point by the whole network with given weights; tests compare it with loops."""
+    v = tables.vector_cloud(spark, sf, by_label=True)
+    return graph.network(v, ["z", "r", "g", "b"], [(4, 0.4, 8), (1, 0.8, 8)], *NETWORK).select("cloud", "pid", *R("c0", "c1", "c2"))
+
+
 # Scatter sums
 
 

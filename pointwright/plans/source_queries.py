@@ -16,22 +16,12 @@ def _sums(df, *keys):
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.round(F.sum(c), 3).alias(c) for c in ("x", "y")], *[F.sum(F.col(c).cast("long")).alias(c) for c in ("r", "label")])
 
 
-@query("s1_s2_k6_ply_round_trip", f"WITH {CLOUD} SELECT cloud, {SUMS} FROM cloud WHERE pid % 3 = 0 GROUP BY cloud")
+@query("s1_s2_k6_ply_round_trip", f"WITH {CLOUD} SELECT cloud, {SUMS} FROM cloud GROUP BY cloud")
 def ply(spark, sf):
     """PLY bytes of each scene through Parquet, parsed again."""
-    import numpy as np
-    import pandas as pd
-
     path = scratch_dir(spark, "ply")
-    files.ply_files(tables.scene_cloud(spark, sf).where("pid % 3 = 0")).write.parquet(path)
-
-    def parse(batches):
-        for batch in batches:
-            for cloud, content in zip(batch["cloud"], batch["content"], strict=True):
-                got = {files.PLY_NAMES.get(k, k): v for k, v in files.parse_ply(bytes(content)).items()}
-                yield pd.DataFrame({"cloud": cloud, **{c: np.asarray(got[c], dtype=float) for c in ("x", "y", "r", "label")}})
-
-    return _sums(spark.read.parquet(path).mapInPandas(parse, "cloud string, x double, y double, r double, label double"), "cloud")
+    files.ply_files(tables.scene_cloud(spark, sf)).write.parquet(path)
+    return _sums(files.read_ply_files(spark, path), "cloud")
 
 
 @query("s6_s7_text_clouds", f"WITH {CLOUD} SELECT {SUMS} FROM cloud")
@@ -50,6 +40,43 @@ def blocks(spark, sf):
     return _sums(spark.read.parquet(f"{path}/*.parquet"), "cloud")
 
 
+LAYOUT_SQL = " UNION ALL ".join(f"SELECT '{n}' AS layout, {i} AS columns, count(*) AS n, round(sum(x), 3) AS x, CAST(sum(b) AS BIGINT) AS b, round(sum({v}), 3) AS extra FROM c" for n, i, v in (("xyzrgb", 6, "0.0"), ("xyzrgbI", 7, "intensity"), ("xyzrgbIL", 8, "intensity + label")))
+
+
+@query("s3_s4_s5_layouts", f"WITH {CLOUD}, c AS (SELECT *, (pid * 3 % 100) / 4.0 AS intensity FROM cloud) {LAYOUT_SQL}")
+def layouts(spark, sf):
+    """PLY files of the layouts with intensity and without label, each written and parsed."""
+    c = tables.scene_cloud(spark, sf).withColumn("intensity", F.col("pid") * 3 % 100 / F.lit(4.0))
+    out = None
+    for name, extra in (("xyzrgb", F.lit(0.0)), ("xyzrgbI", F.col("intensity")), ("xyzrgbIL", F.col("intensity") + F.col("label"))):
+        path = scratch_dir(spark, name)
+        files.ply_files(c, layout=name).write.parquet(path)
+        got = files.read_ply_files(spark, path, layout=name)
+        sums = got.agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("x"), F.sum(F.col("b").cast("long")).alias("b"), F.round(F.sum(extra), 3).alias("extra"))
+        sums = sums.select(F.lit(name).alias("layout"), F.lit(len(files.LAYOUTS[name].split())).alias("columns"), "n", "x", "b", "extra")
+        out = sums if out is None else out.unionByName(sums)
+    return out
+
+
+@query("s8_s10_s11_feature_blocks", f"WITH {CLOUD} SELECT cloud, count(*) AS n, CAST(sum(label) AS BIGINT) AS label, round(sum(x), 3) AS weight, CAST(sum(label % 4) AS BIGINT) AS catl, round(sum(z), 3) AS eig FROM cloud GROUP BY cloud")
+def feature_blocks(spark, sf):
+    """Blocks with labels, weights, categories and eigen-features, written and read as one table."""
+    path = scratch_dir(spark, "features")
+    c = tables.scene_cloud(spark, sf)
+    files.write_blocks(c.select("cloud", F.array("x", "y", "z").alias("data"), "label", F.col("x").alias("spw"), (F.col("label") % 4).alias("catl"), F.array("z", "y").alias("eig")), path)
+    got = spark.read.parquet(path)
+    return got.groupBy("cloud").agg(F.count("*").alias("n"), F.sum("label").alias("label"), F.round(F.sum("spw"), 3).alias("weight"), F.sum("catl").alias("catl"), F.round(F.sum(F.col("eig")[0]), 3).alias("eig"))
+
+
+@query("k2_whole_blocks", f"WITH {CLOUD} SELECT (pid % 97) // 10 AS file, count(DISTINCT pid % 97) AS blocks, count(*) AS points FROM cloud GROUP BY 1")
+def whole_blocks(spark, sf):
+    """Files of at most ten whole blocks: by file, its blocks and points; a block of two files would count twice."""
+    path = scratch_dir(spark, "rolled")
+    files.write_whole_blocks(tables.scene_cloud(spark, sf).withColumn("block", F.col("pid") % 97), path, "block", 10)
+    got = spark.read.parquet(path).withColumn("name", F.input_file_name())
+    return got.groupBy("name").agg(F.first(F.col("file").cast("long")).alias("file"), F.countDistinct("block").alias("blocks"), F.count("*").alias("points")).drop("name")
+
+
 @query("s12_k3_test_blocks", f"WITH {CLOUD} SELECT cloud, {SUMS} FROM cloud WHERE cloud = 'Area_5' GROUP BY cloud")
 def scenes(spark, sf):
     """Rows in a folder for each scene; one scene read by partition pruning."""
@@ -76,11 +103,11 @@ def pred_true(spark, sf):
     return files.read_pred_truth(spark, f"{path}/*.pred_true").groupBy("truth", "pred").agg(F.count("*").alias("n"))
 
 
-@query("s15_a14_room_manifest", "SELECT 'Area_' || (o_orderkey % 6 + 1) AS area, 'office_' || (o_orderkey % 40) AS room, count(*) AS entries FROM orders WHERE o_orderkey <= 600 GROUP BY ALL")
+@query("s15_a14_room_manifest", "SELECT 'Area_' || (o_orderkey % 6 + 1) AS area, 'office_' || (o_orderkey % 40) AS room, count(*) AS entries FROM orders GROUP BY ALL")
 def manifest(spark, sf):
     """A list of rooms read by line, with area and room."""
     path = scratch_dir(spark, "rooms")
-    o = tables.table(spark, sf, "orders").where("o_orderkey <= 600")
+    o = tables.table(spark, sf, "orders")
     o.select(F.format_string("Area_%d_office_%d.npy", F.col("o_orderkey") % 6 + 1, F.col("o_orderkey") % 40).alias("value")).write.text(path)
     area, room = files.room_of(F.col("entry"))
     return files.read_manifest(spark, path).select(area.alias("area"), room.alias("room")).groupBy("area", "room").agg(F.count("*").alias("entries"))

@@ -98,11 +98,30 @@ def ply_files(df: DataFrame, key: str = "cloud", layout: str = "xyzrgbL") -> Dat
     return df.select(key, "pid", *names).groupBy(key).applyInPandas(make, f"{key} string, content binary")
 
 
+def read_ply_files(spark: SparkSession, path: str, key: str = "cloud", layout: str = "xyzrgbL") -> DataFrame:
+    """Points of a table of PLY files as ply_files() makes it: key, row and the layout's columns."""
+    names = LAYOUTS[layout].split()
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for cloud, content in zip(batch[key], batch["content"], strict=True):
+                got = {PLY_NAMES.get(k, k): v for k, v in parse_ply(bytes(content)).items()}
+                yield pd.DataFrame({key: cloud, "row": np.arange(len(got["x"])), **{c: got[c] for c in names}})
+
+    return spark.read.parquet(path).mapInPandas(parse, f"{key} string, row long, " + ", ".join(f"{c} double" for c in names))
+
+
 def write_blocks(df: DataFrame, path: str, rows_per_file: int = 100_000 * 4096) -> None:
     """Block rows as compressed Parquet files of a bounded number of rows."""
     df.write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").mode("overwrite").parquet(path)
 
 
+def write_whole_blocks(df: DataFrame, path: str, block: str, blocks_per_file: int = 100_000) -> None:
+    """Block rows as compressed Parquet files that hold at most so many whole blocks each, numbered by the block: a new file begins where one is full."""
+    number = F.floor(F.col(block) / blocks_per_file).alias("file")
+    df.select("*", number).repartition(F.col("file")).write.partitionBy("file").option("compression", "zstd").mode("overwrite").parquet(path)
+
+
 def write_by_scene(df: DataFrame, path: str, scene: str = "cloud") -> None:
     """A folder for each scene; rows are dealt by scene and id, so one scene is many tasks and few files."""
     df.repartition(F.col(scene), F.pmod(F.xxhash64("pid"), F.lit(4))).write.partitionBy(scene).mode("overwrite").parquet(path)

@@ -183,3 +183,86 @@ def test_bad_arguments(spark):
         graph.pool(spatial.knn_join(c, c, 1), c, ["x"], "median")
     with pytest.raises(ValueError):
         graph.attention(c, spatial.knn_join(c, c, 1), ["x"], [], [], [], [], "other")
+
+
+def test_knn_with_a_stray_point_compares_few_pairs(spark, monkeypatch):
+    """One far point does not make cells wide: the start follows the density, and the result is exact."""
+    rng = np.random.default_rng(12)
+    xyz = np.concatenate((rng.random((900, 3)), [[5000.0, 0, 0]]))
+    df = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(xyz)], "cloud string, pid long, x double, y double, z double")
+    sizes, search = [], spatial._searched
+    monkeypatch.setattr(spatial, "_searched", lambda data, queries, radius, *rest: (sizes.append(radius), search(data, queries, radius, *rest))[1])
+    got = spatial.knn_join(df, df, 4).toPandas()
+    assert sizes[0] < 1
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
+    for q, g in got.groupby("qid"):
+        assert g.sort_values("pos").nid.tolist() == np.lexsort((np.arange(len(xyz)), d[q]))[:4].tolist()
+
+
+def test_crowded_cells_are_split(spark, monkeypatch):
+    """Blocks of a few points give what whole cells give; a null place is near nothing."""
+    rng = np.random.default_rng(13)
+    xyz = rng.random((300, 3))
+    df = spark.createDataFrame([("a", i, *map(float, p), float(i % 7)) for i, p in enumerate(xyz)] + [("a", 999, None, 0.5, 0.5, 1.0)], "cloud string, pid long, x double, y double, z double, intensity double")
+    whole = {(r.qid, r.nid) for r in spatial.radius_join(df, df, 0.3).collect()}
+    monkeypatch.setattr(spatial, "BLOCK", 8)
+    monkeypatch.setattr(spatial, "AT_ONCE", 50)
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
+    want = set(zip(*(x.tolist() for x in np.nonzero(d < 0.3))))
+    assert {(r.qid, r.nid) for r in spatial.radius_join(df, df, 0.3).collect()} == whole == want
+    for r in spatial.radius_moments(df, df, 0.3, ("intensity", "x")).collect():
+        near = np.flatnonzero(d[r.qid] < 0.3)
+        both = np.cov(near % 7, xyz[near, 0], bias=True) * len(near)
+        assert r.n == len(near) and np.allclose([r.c_intensity_intensity, r.c_intensity_x, r.c_x_x], [both[0, 0], both[0, 1], both[1, 1]])
+
+
+def test_network_against_loops(spark):
+    """The whole network with given weights, point by point."""
+    from pointwright.plans.graph_queries import NETWORK
+
+    rng = np.random.default_rng(14)
+    xyz, f = rng.random((40, 3)), rng.normal(size=(40, 4))
+    levels = [(4, 0.5, 6), (1, 0.9, 5)]
+    df = spark.createDataFrame([("a", i, *map(float, xyz[i]), *map(float, f[i])) for i in range(40)], "cloud string, pid long, x double, y double, z double, f0 double, f1 double, f2 double, f3 double")
+    got = graph.network(df, ["f0", "f1", "f2", "f3"], levels, *NETWORK).toPandas().set_index("pid")
+
+    def layers(v, maps):
+        for w, b, *plain in maps:
+            v = np.array(v) @ np.array(w) + np.array(b)
+            if not plain:
+                v = np.where(v > 0, v, np.exp(v) - 1)
+        return v
+
+    def ball(points, q, radius, k):
+        near = sorted((p for p in points if np.sqrt(((xyz[p] - xyz[q]) ** 2).sum()) < radius), key=lambda p: ((p * 1103515245 + 12345) % 2147483648, p))[:k]
+        return near + [near[0]] * (k - len(near))
+
+    def attend(points, feats, radius, k, edge, feature, hidden, coefficient):
+        out = {}
+        mapped = {p: layers(feats[p], feature) for p in points}
+        for q in points:
+            values, scores = [], []
+            for p in ball(points, q, radius, k):
+                e = layers(xyz[p] - xyz[q], edge)
+                h = layers(mapped[p] - mapped[q], hidden)
+                values.append([*e, *mapped[p]])
+                scores.append(layers([*e, *h], coefficient))
+            s = np.exp(np.array(scores) - np.max(scores, axis=0))
+            out[q] = (s / s.sum(axis=0) * np.array(values)).sum(axis=0)
+        return out
+
+    forward, upsample, head = NETWORK
+    every = list(range(40))
+    fine = attend(every, f, 0.5, 6, *forward[0])
+    coarse = [min(every)]
+    while len(coarse) < 10:
+        coarse.append(max(every, key=lambda p: (min(((xyz[p] - xyz[c]) ** 2).sum() for c in coarse), -p)))
+    pooled = {c: np.max([fine[p] for p in ball(every, c, 0.5, 6)], axis=0) for c in coarse}
+    deep = attend(sorted(coarse), pooled, 0.9, 5, *forward[1])
+    for p in every:
+        three = sorted(coarse, key=lambda c: (np.sqrt(((xyz[c] - xyz[p]) ** 2).sum()), c))[:3]
+        r = np.array([1 / max(np.sqrt(((xyz[c] - xyz[p]) ** 2).sum()), 1e-10) for c in three])
+        w = np.exp(r - r.max())
+        up = sum(x * deep[c] for x, c in zip(w / w.sum(), three))
+        want = layers(layers([*fine[p], *up], upsample[0]), head)
+        assert np.allclose(got.loc[p, ["c0", "c1", "c2"]].to_numpy(dtype=float), want, atol=1e-9)
