@@ -327,6 +327,48 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
+def _sets(df: DataFrame, id_col: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of assemble(), and their nodes: one for each set, with its smallest id."""
+    n = prime_from(parts_for(df, PART_BYTES))
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sets = written(assemble(shared_shingles(docs, n, words), percent), "sets")
+    return sets, written(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "own", "m", "keys", "r"))), "nodes")
+
+
+def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b) with a < b, smallest ids of two classes of documents whose sets reach the threshold; and membership, (doc_id, class_id, n_shingles) of every document.
+
+    A class is the documents of one set (a document without n-grams is its own); within it all link
+    (copies are not expanded into pairs). Every pair of groups that may link is expanded and
+    verified, whatever component it is in: the work grows with the number of links, where link()
+    stops at components. Rows are taken as link() takes them.
+    """
+    sets, nodes = _sets(df, id_col, text, words, percent)
+    grouped = nodes.select("node", "n", "own", F.slice("r", 1, F.col("m")).alias("prefix")).select("*", F.xxhash64("prefix", "n").alias("g"))
+    groups = grouped.groupBy("g").agg(F.first("g").alias("label"), *(F.first(c).alias(c) for c in ("n", "own", "prefix")))
+    ids = grouped.select("g", "node")
+    one, two = ids.withColumnRenamed("node", "a"), ids.withColumnRenamed("node", "b")
+    between = candidates(groups, percent).join(one, "g").join(two.withColumnRenamed("g", "h"), "h").select("a", "b")
+    within = one.join(two, "g").where("a < b").select("a", "b")
+    found = verified(between.unionAll(within), nodes, percent)
+    name = nodes.select("node", "doc")
+    named = found.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return named, sets.join(name, "node", "left").select("doc_id", F.coalesce("doc", "doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
+
+
+def count_links(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (documents that link with it, copies included) of every document, by links()."""
+    pairs, member = links(df, id_col, text, words, percent)
+    pairs, member = written(pairs, "pairs"), written(member, "member")
+    size = member.groupBy("class_id").agg(F.count("*").alias("c"))
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(size.toDF("b", "c"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("c").alias("others"))
+    roots = components(pairs).select(F.col("node").alias("class_id"), "root")
+    each = size.join(others, "class_id", "left").join(roots, "class_id", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("c") - 1 + F.coalesce("others", F.lit(0))).otherwise(F.lit(0).cast("long"))
+    return member.join(each, "class_id").select("doc_id", "n_shingles", F.coalesce("root", "class_id").alias("component_id"), own.alias("n_links"))
+
+
 def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document (class of the similarity join).
 
@@ -334,12 +376,9 @@ def link(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int =
     null id are not returned; rows that share an id are one document whose set is the union.
     Other columns are ignored. component_id is the smallest id reachable by links.
     """
-    n = prime_from(parts_for(df, PART_BYTES))
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = written(assemble(shared_shingles(docs, n, words), percent), "sets")
+    sets, nodes = _sets(df, id_col, text, words, percent)
     alone = sets.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     member = sets.where("node is not null")
-    nodes = written(member.groupBy("node").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "own", "m", "keys", "r"))), "nodes")
     roots = written(components(lead(nodes, percent)), "led")
     for brief in (True, False):
         grouped = nodes.join(roots, "node", "left").select("node", "n", "own", F.slice("r", 1, F.col("m")).alias("prefix"), F.coalesce("root", "node").alias("label"))

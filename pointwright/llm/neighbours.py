@@ -12,8 +12,9 @@ NN-descent is two shuffles of packed rows, each a join by node:
 
 Lists start with random company. Of those that list a node, at most REVERSE (by a hash) take
 part in an iteration: the method is approximate, and its recall is measured against brute force.
+Iterations end when lists hardly change (SETTLED), so larger tables get more of them.
 
-Search keeps a beam of BEAM nodes for each query and expands the best unexpanded ones in rounds:
+Search keeps a beam for each query, wider with the root of the number of nodes, and expands the best unexpanded ones in rounds:
 a round sends the query to the parts of these nodes, whose stored neighbours answer with what
 would enter the beam. It starts from the query's own node, where it is one, and from ENTRIES
 fixed nodes (the only vectors that are broadcast). The REFINE best are scored again on the
@@ -35,10 +36,13 @@ from .substring_dedup import _tag, part_of_ids, prime_from
 from .words import U, mix64
 from .work import drop, shared_dir
 
-NEIGHBOURS, OFFERS, REVERSE, ROUNDS, COMPANY = 16, 4, 20, 5, 24
-BEAM, EXPAND, ENTRIES, REFINE = 600, 100, 32, 64
+NEIGHBOURS, OFFERS, REVERSE, COMPANY = 16, 4, 20, 24
+#: Iterations go on until fewer than this share of all list entries are new, or so many are done.
+SETTLED, ROUNDS = 0.01, 15
+#: A beam is the larger of BEAM nodes and BEAM_ROOT times the root of the number of nodes.
+BEAM, BEAM_ROOT, EXPAND, ENTRIES, REFINE = 600, 2.65, 100, 32, 64
 PART_NODES = 1024
-STATE, MEET, OFFER, REPLY = 0, 1, 2, 3
+STATE, MEET, OFFER, REPLY, CHANGED = 0, 1, 2, 3, 4
 
 
 def _quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +196,12 @@ def _merged(sent: DataFrame, n: int) -> DataFrame:
         parts, rest = _collect(batches)
         part = _joined(parts)
         if part is not None:
-            yield rows([int(part_of_ids(part.ids[:1], n)[0])], [_merge(part, rest.get(OFFER, [])).pack()])
+            new = _merge(part, rest.get(OFFER, []))
+            both = np.concatenate([np.where(x.near >= 0, x.near, -1 - np.arange(x.near.shape[1])) for x in (part, new)], axis=1)
+            both.sort(axis=1)
+            old = np.count_nonzero((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0))  # entries that stay
+            place = int(part_of_ids(part.ids[:1], n)[0])
+            yield rows([place, place], [new.pack(), pack(_tag(CHANGED), np.array([np.count_nonzero(new.near >= 0) - old]))])
 
     return deal(sent, n).mapInArrow(merge, SCHEMA)
 
@@ -290,7 +299,8 @@ class Index:
         spark = df.sparkSession
         self.spark, self.members = spark, members
         whole = usable(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).where("id is not null"))
-        self.d = d = int(whole.agg(F.max(F.size("vec"))).first()[0] or 0)
+        lengths = whole.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("d")).first()
+        self.d = d = int(lengths.d) if lengths else 0  # the commonest length, the longer of equally common ones
         whole = whole.where(F.size("vec") == d)
         least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -320,11 +330,17 @@ class Index:
         self.size = self.nodes.count()
         self.n = prime_from(max(4, -(-self.size // PART_NODES)))  # by size alone: packed rows go from every part to every part
         state = self._written(_random_company(self.nodes.select("node", "vec"), self.n, max(1, self.size // COMPANY), d), "graph0")
+        self.rounds = 0
         for i in range(rounds):
             state = self._written(_descend(state, self.n, i + 5), f"graph{i + 1}")
             drop(spark, f"{self.path}/graph{i}")
+            self.rounds = i + 1
+            new = state.where(F.octet_length("blob") < 256).mapInArrow(_changed, "n long").agg(F.sum("n")).first()[0] or 0
+            if new < SETTLED * NEIGHBOURS * self.size:
+                break
         self.store = self._written(_stored(state, self.n), "store")
-        drop(spark, f"{self.path}/graph{rounds}")
+        drop(spark, f"{self.path}/graph{self.rounds}")
+        self.width = max(BEAM, int(BEAM_ROOT * self.size**0.5))
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
@@ -333,7 +349,7 @@ class Index:
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """(query_id, rank, vec_id, score) of queries (query_id, vec array<double>): the k nearest found but the row with the query's own id."""
-        spark, n, d = self.spark, self.n, self.d
+        spark, n, d, width = self.spark, self.n, self.d, self.width
         hashed = self.nodes.select("node", "vec", F.xxhash64("vec").alias("h"))
         asked = usable(queries.select("query_id", "vec")).where(F.size("vec") == d).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
         own = asked.withColumn("h", F.xxhash64("vec")).join(hashed.select("h", "node", F.col("vec").alias("v")), "h", "left").where("v is null or v = vec").select("query_id", "vec", F.coalesce("node", F.lit(-1)).alias("own"))
@@ -350,7 +366,7 @@ class Index:
                 x = q.astype(np.float32) * s[:, None]
                 sims = x @ e_vec.T.astype(np.float32)
                 own_, ids = batch.column("own").to_numpy(), batch.column("query_id").to_numpy()
-                beams = [_Beam(int(i), a, b, np.append(e_ids, o) if o >= 0 and o not in e_ids else e_ids, np.append(m, np.float32(a.astype(np.float32) @ a * b * b)) if o >= 0 and o not in e_ids else m) for i, a, b, o, m in zip(ids, q, s, own_, sims, strict=True)]
+                beams = [_Beam(width, int(i), a, b, np.append(e_ids, o) if o >= 0 and o not in e_ids else e_ids, np.append(m, np.float32(a.astype(np.float32) @ a * b * b)) if o >= 0 and o not in e_ids else m) for i, a, b, o, m in zip(ids, q, s, own_, sims, strict=True)]
                 yield from _pack_beams(beams, n)
 
         state = self._written(own.mapInArrow(start, SCHEMA), "beam0")
@@ -389,21 +405,21 @@ def _release(spark: SparkSession) -> None:
 class _Beam:
     """A query's beam: nodes with similarities, best first, and which are expanded."""
 
-    def __init__(self, query: int, q: np.ndarray, scale: float, ids: np.ndarray, sim: np.ndarray, done: np.ndarray | None = None) -> None:
-        self.query, self.q, self.scale, self.ids, self.sim = query, q, scale, ids, sim
+    def __init__(self, width: int, query: int, q: np.ndarray, scale: float, ids: np.ndarray, sim: np.ndarray, done: np.ndarray | None = None) -> None:
+        self.width, self.query, self.q, self.scale, self.ids, self.sim = width, query, q, scale, ids, sim
         self.done = np.zeros(len(ids), dtype=bool) if done is None else done
 
     def add(self, ids: np.ndarray, sim: np.ndarray) -> None:
         ids, at = np.unique(np.concatenate((self.ids, ids)), return_index=True)
         sim, done = np.concatenate((self.sim, sim))[at], np.concatenate((self.done, np.zeros(len(sim), dtype=bool)))[at]
-        best = np.lexsort((ids, -sim))[:BEAM]
+        best = np.lexsort((ids, -sim))[: self.width]
         self.ids, self.sim, self.done = ids[best], sim[best], done[best]
 
     def next(self) -> np.ndarray:
         return np.flatnonzero(~self.done)[:EXPAND]
 
     def worst(self) -> float:
-        return float(self.sim.min()) if len(self.ids) >= BEAM else -np.inf
+        return float(self.sim.min()) if len(self.ids) >= self.width else -np.inf
 
 
 def _pack_beams(beams: list[_Beam], n: int) -> Iterator[pa.RecordBatch]:
@@ -411,19 +427,20 @@ def _pack_beams(beams: list[_Beam], n: int) -> Iterator[pa.RecordBatch]:
     for b in beams:
         by.setdefault(int(part_of_ids(np.array([b.query]), n)[0]), []).append(b)
     for p, some in by.items():
-        yield rows([p], [pack(_tag(STATE), np.array([b.query for b in some]), np.concatenate([b.q for b in some]), np.array([b.scale for b in some], dtype=np.float32), np.array([len(b.ids) for b in some]), np.concatenate([b.ids for b in some]), np.concatenate([b.sim for b in some]).astype(np.float32), np.concatenate([b.done for b in some]).astype(np.uint8))])
+        yield rows([p], [pack(np.array([STATE, some[0].width]), np.array([b.query for b in some]), np.concatenate([b.q for b in some]), np.array([b.scale for b in some], dtype=np.float32), np.array([len(b.ids) for b in some]), np.concatenate([b.ids for b in some]), np.concatenate([b.sim for b in some]).astype(np.float32), np.concatenate([b.done for b in some]).astype(np.uint8))])
 
 
-def _unpack_beams(arrays: list[np.ndarray]) -> list[_Beam]:
+def _unpack_beams(head: np.ndarray, arrays: list[np.ndarray]) -> list[_Beam]:
     query, q, scale, size, ids, sim, done = arrays
     q, off = q.reshape(len(query), -1), np.concatenate(([0], np.cumsum(size)))
-    return [_Beam(int(query[i]), q[i], float(scale[i]), ids[off[i] : off[i + 1]], sim[off[i] : off[i + 1]], done[off[i] : off[i + 1]].astype(bool)) for i in range(len(query))]
+    return [_Beam(int(head[1]), int(query[i]), q[i], float(scale[i]), ids[off[i] : off[i + 1]], sim[off[i] : off[i + 1]], done[off[i] : off[i + 1]].astype(bool)) for i in range(len(query))]
 
 
 def _beams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[_Beam]]]:
     for batch in batches:
         for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            yield part, _unpack_beams(unpack(blob)[1:])
+            head, *arrays = unpack(blob)
+            yield part, _unpack_beams(head, arrays)
 
 
 def _asks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -483,7 +500,7 @@ def _updated(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         for blob in batch.column("blob").to_pylist():
             head, *arrays = unpack(blob)
             if head[0] == STATE:
-                beams |= {b.query: b for b in _unpack_beams(arrays)}
+                beams |= {b.query: b for b in _unpack_beams(head, arrays)}
             else:
                 replies.append(arrays)
     if replies:
@@ -498,6 +515,12 @@ def _updated(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         yield from _pack_beams(list(beams.values()), n)
 
 
+def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [unpack(blob) for blob in batch.column("blob").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([int(x[1][0]) for x in found if x[0][0] == CHANGED], pa.int64())], names=["n"])
+
+
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, beams in _beams(batches):
         yield pa.RecordBatch.from_arrays([pa.array([sum(len(b.next()) for b in beams)], pa.int64())], names=["n"])
@@ -513,12 +536,14 @@ def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found of every row whose id is divisible by `every`.
 
-    Vectors that are null, zero, of another length than the longest, or that hold a null or
+    Vectors that are null, zero, of another length than the commonest (the longer of two), or that hold a null or
     non-finite component take no part, nor do rows with a null id. Rows that share an id and not
-    the vector are rows of their own; a query never finds its own id. Repeated rows count once.
+    the vector are rows of their own; the least of their usable vectors (by components, in order)
+    asks; a query never finds its own id. Repeated rows count once.
     """
     index = Index(df, id_col, vector, members=k + 1)
     queries = df.where(F.pmod(F.col(id_col).cast("long"), F.lit(every)) == 0).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vec"))
-    return index.search(queries.dropDuplicates(["query_id"]), k)
+    asked = usable(queries).where(F.size("vec") == index.d).groupBy("query_id").agg(F.min("vec").alias("vec"))
+    return index.search(asked, k)
 
 

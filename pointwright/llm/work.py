@@ -14,9 +14,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the shared folder that the session names in spark.checkpoint.dir; where it names none (tests), a temporary folder of this machine."""
+    """A new path below the shared folder that the session names in spark.checkpoint.dir; where it names none and the master is local (tests), a temporary folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='pointwright-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/pointwright-{uuid.uuid4().hex}"

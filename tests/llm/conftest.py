@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside, as extra columns of an input.
-CLASHING = ("part", "th", "node", "blob", "size", "score", "rank", "n", "kept")
+CLASHING = ("part", "th", "node", "blob", "size", "score", "rank", "n", "kept", "evidence", "peak", "predicted", "held_out", "kept_text", "n_words", "n_removed", "span_starts", "label", "component_id", "toxic", "measures", "trusted", "h", "chunk")
 
 
 def words(text):

@@ -166,3 +166,22 @@ def test_digest_of_kept_text(spark):
         assert len(r.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
 
 
+
+
+def test_links_and_their_numbers_against_brute_force(spark, random_docs, odd, clashing, none):
+    """Every link between different sets, and every document's number of links, by plain sets."""
+    rows, df = random_docs
+    for docs, table in ((rows, df), ([r for r in odd.collect() if r[0] is not None and r[0] != 9], odd.where("doc_id <> 9"))):
+        sets = {}
+        for r in docs:
+            w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1] or ""))
+            sets[r[0]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        near = {(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+        got = {r.doc_id: r.n_links for r in jaccard_join.count_links(table).collect()}
+        assert got == {i: sum(i in p for p in near) for i in sets}
+        pairs, member = jaccard_join.links(table)
+        least = {r.doc_id: r.class_id for r in member.collect()}
+        assert least == {i: min([i, *(j for j in sets if sets[i] and sets[j] == sets[i])]) for i in sets}
+        assert sorted(map(tuple, pairs.collect())) == sorted(p for p in near if least[p[0]] == p[0] and least[p[1]] == p[1] and sets[p[0]] != sets[p[1]])
+    assert {r.doc_id: r.component_id for r in jaccard_join.count_links(df).collect()} == {r.doc_id: r.component_id for r in jaccard_join.link(df).collect()}
+    assert jaccard_join.count_links(none).count() == 0 and jaccard_join.count_links(clashing).count() == 14  # ids, not rows

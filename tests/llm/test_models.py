@@ -344,6 +344,8 @@ def test_neighbours_ties_and_odd_vectors(spark):
     for q in (0, 20, 40):
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [i for i in range(22) if i != q][:20]
     assert got[got.query_id == 100].sort_values("rank").vec_id.tolist() == list(range(20))
+    longer = neighbours.nearest(spark.createDataFrame([*rows, (140, [1.0, 0.0, 0.0, 9.0], 0), (20, None, 0), (20, [0.0, 0.0, 0.0], 0)], VECTORS)).toPandas()
+    assert sorted(longer.query_id.unique()) == [0, 20, 40, 100] and len(longer) == len(got)
     none = spark.createDataFrame([], VECTORS)
     assert neighbours.nearest(none).count() == 0
     assert neighbours.nearest(spark.createDataFrame([(0, same, 0), (1, same, 0)], VECTORS)).collect()[0].vec_id == 1
@@ -371,9 +373,11 @@ def test_pipeline_stages_against_operators(spark, random_docs):
         assert (words(cut[i].text) == words(text)) and cut[i].n_chars == len(cut[i].text) and (gone or cut[i].text == next(r[1] for r in rows if r[0] == i))
 
 
-def test_pipeline_on_odd_and_empty_rows(spark, odd, none):
+def test_pipeline_on_odd_and_empty_rows(spark, odd, clashing, none):
     sf = "/root/testdata/sf0.001"
-    for docs in (odd, none):
-        for _, stage in corpus_pipeline.STAGES:
+    for docs in (odd, clashing, none):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf).persist()
+            assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == columns, name
         assert docs.count() <= len(odd_rows())
