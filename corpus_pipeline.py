@@ -52,11 +52,18 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "decoded_sha256", "spans_sha256"))
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
 def _stage(f):
+    """A stage in which columns beside those of documents go by names of their own, so they can clash with none of an operator's."""
+
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
-        return f(spark, docs, sf_dir)
+        extra = {c: f"__extra{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        out = f(spark, docs.withColumnsRenamed(extra), sf_dir)
+        return out.withColumnsRenamed({new: c for c, new in extra.items()})
 
     return run_stage
 
