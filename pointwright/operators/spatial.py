@@ -10,6 +10,7 @@ queries not yet settled, from a size that the clouds' density gives.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,15 +27,21 @@ BLOCK, AT_ONCE, BATCH_BYTES = 512, 1 << 20, 16 << 20
 CELL = [f"__{c}" for c in XYZ]
 
 
-def _blocks(points: DataFrame, size: float, name: str, columns: list[str]) -> DataFrame:
-    """A row for each block of a cell's points: cloud, cell and their columns as an array. Points without a place are in none."""
-    placed = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ))
-    placed = placed.select("*", *[F.floor(F.col(c) / size).alias(k) for c, k in zip(XYZ, CELL, strict=True)])
-    counts = placed.groupBy(CLOUD, *CELL).agg(F.count("*").alias("__c"))
+def _placed(points: DataFrame, size: float) -> DataFrame:
+    """Points with their cell; those without a place are in none."""
+    there = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ))
+    return there.select("*", *[F.floor(F.col(c) / size).alias(k) for c, k in zip(XYZ, CELL, strict=True)])
+
+
+def _counts(placed: DataFrame) -> DataFrame:
+    return placed.groupBy(CLOUD, *CELL).agg(F.count("*").alias("__c"))
+
+
+def _blocks(placed: DataFrame, crowded: bool, name: str, columns: list[str]) -> DataFrame:
+    """A row for each block of a cell's points: cloud, cell and their columns as an array; a cell is one block where none is crowded."""
     block = F.lit(0).cast("long")
-    if (counts.agg(F.max("__c")).first()[0] or 0) > BLOCK:
-        crowded = counts.where(F.col("__c") > BLOCK)
-        placed = placed.join(crowded, [CLOUD, *CELL], "left")
+    if crowded:
+        placed = placed.join(_counts(placed).where(F.col("__c") > BLOCK), [CLOUD, *CELL], "left")
         block = F.pmod(F.xxhash64("pid"), F.coalesce(F.ceil(F.col("__c") / BLOCK), F.lit(1)).cast("long"))
     return placed.withColumn("__block", block).groupBy(CLOUD, *CELL, "__block").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("__block")
 
@@ -53,8 +60,12 @@ def _searched(data: DataFrame, queries: DataFrame, radius: float, inclusive: boo
     each pair found) and dist; it gives the place of a query for each row, and the rows' columns.
     """
     data.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    theirs = _blocks(data.select(CLOUD, "pid", *[c for c in [*XYZ, *columns] if c != "pid"]), radius, "__d", ["pid", *XYZ, *[c for c in columns if c not in ("pid", *XYZ)]])
-    ours = _around(_blocks(queries.select(CLOUD, "pid", *XYZ), radius, "__q", ["pid", *XYZ]))
+    extra = [c for c in columns if c not in ("pid", *XYZ)]
+    theirs = _placed(data.select(CLOUD, "pid", *XYZ, *extra), radius)
+    ours = _placed(queries.select(CLOUD, "pid", *XYZ), radius)
+    most = _counts(theirs).select("__c").unionAll(_counts(ours).select("__c")).agg(F.max("__c")).first()[0] or 0
+    theirs = _blocks(theirs, most > BLOCK, "__d", ["pid", *XYZ, *extra])
+    ours = _around(_blocks(ours, most > BLOCK, "__q", ["pid", *XYZ]))
     met = ours.join(theirs, [CLOUD, *CELL]).select(CLOUD, "__q", "__d")
     names = [n.strip().split(" ")[0] for n in out.split(",")]
 
@@ -179,18 +190,23 @@ HALVINGS = 24
 
 
 def start_size(data: DataFrame, k: int, most: float) -> float:
-    """The smallest cell size (of most / 2^i) at which a point's own cell has about k / 4 points on average over occupied cells, by one pass of sketches: stray points add a cell each and do not move it."""
+    """The smallest cell size (of most / 2^i) whose cells hold k / 3 points of evenly strewn ones, so that most balls of that radius hold k.
+
+    Cells of l such points hold l / (1 - exp(-l)) on average over the occupied ones, which one pass
+    of sketches counts for all sizes: stray points add a cell each and do not move it.
+    """
+    occupied = (k / 3) / (1 - math.exp(-k / 3))
     sizes = [most / 2**i for i in range(HALVINGS)]
     cells = [F.approx_count_distinct(F.xxhash64(CLOUD, *[F.floor(F.col(c) / s) for c in XYZ])).alias(f"c{i}") for i, s in enumerate(sizes)]
     got = data.agg(F.count("*").alias("n"), *cells).first()
-    return min([s for i, s in enumerate(sizes) if got.n >= got[f"c{i}"] * max(1.0, k / 4)], default=most)
+    return min([s for i, s in enumerate(sizes) if got.n >= got[f"c{i}"] * occupied], default=most)
 
 
 def knn_join(data: DataFrame, queries: DataFrame, k: int, start: float | None = None) -> DataFrame:
     """(cloud, qid, nid, dist, pos): the k nearest points of data for each query, itself included where data has it.
 
     Exact. A query is settled at a cell size once it has k points within that size; the rest go on
-    with twice, then four times the size, until a cell spans the data. A query of a cloud that
+    with twice, then eight times the size, until a cell spans the data. A query of a cloud that
     data lacks has none.
     """
     low_high = [f(c).alias(f"{p}{c}") for c in XYZ for p, f in (("l", F.min), ("h", F.max))]
@@ -201,20 +217,21 @@ def knn_join(data: DataFrame, queries: DataFrame, k: int, start: float | None =
         return nearest_within(data, queries.limit(0), 1.0, k)
     most = max(wide, far, 1e-9) * 1.001
     size = start or start_size(data, k, most)
-    pending, settled, factor = queries.select(CLOUD, "pid", *XYZ), None, 2
+    queries = queries.select(CLOUD, "pid", *XYZ)
+    pending, settled, factor = queries, None, 2
     while True:
         last = size >= most
         # cells of the whole spread hold every point within any query's reach: all pairs count then
         best = nearest_within(data, pending, 2 * most if last else size, k)
         if last:
             return best if settled is None else settled.unionByName(best)
-        # written, so that a level's plan does not hold the plans of all levels before it
+        # written, so that a level's plan does not hold the searches of all levels before it
         done = _written(best.withColumn("__n", F.count("*").over(Window.partitionBy(CLOUD, "qid"))).where(F.col("__n") >= k).drop("__n"))
         settled = done if settled is None else settled.unionByName(done)
-        pending = _written(pending.join(done.where("pos = 0").select(CLOUD, F.col("qid").alias("pid")), [CLOUD, "pid"], "left_anti"))
+        pending = queries.join(settled.where("pos = 0").select(CLOUD, F.col("qid").alias("pid")), [CLOUD, "pid"], "left_anti")
         if pending.isEmpty():
             return settled
-        size, factor = min(size * factor, most), 4
+        size, factor = min(size * factor, most), 8
 
 
 def _written(df: DataFrame) -> DataFrame:
