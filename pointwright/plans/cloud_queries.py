@@ -252,7 +252,8 @@ def p14(spark, sf):
 
 @query("p16_p17_shuffled_batches", f"WITH {CLOUD}, s AS (SELECT cloud, pid, row_number() OVER (PARTITION BY cloud ORDER BY {key('pid')}, pid) - 1 AS k, count(*) OVER (PARTITION BY cloud) AS n FROM cloud) SELECT cloud, pid, k // 15 AS batch FROM s WHERE k // 15 < n // 15")
 def p17(spark, sf):
-    s = sampling.shuffled(tables.scene_cloud(spark, sf)).withColumn("n", F.count("*").over(Window.partitionBy("cloud")))
+    c = tables.scene_cloud(spark, sf)
+    s = sampling.shuffled(c).join(c.groupBy("cloud").agg(F.count("*").alias("n")), "cloud")
     return s.select("cloud", "pid", F.floor(F.col("pos") / 15).alias("batch"), "n").where("batch < floor(n / 15)").drop("n")
 
 

@@ -266,3 +266,29 @@ def test_network_against_loops(spark):
         up = sum(x * deep[c] for x, c in zip(w / w.sum(), three))
         want = layers(layers([*fine[p], *up], upsample[0]), head)
         assert np.allclose(got.loc[p, ["c0", "c1", "c2"]].to_numpy(dtype=float), want, atol=1e-9)
+
+
+@pytest.mark.parametrize("span", [2, sampling.KEY_SPAN, 30])
+def test_numbering_is_brute_force_over_many_buckets(spark, monkeypatch, span):
+    monkeypatch.setattr(sampling, "KEY_SPAN", span)
+    monkeypatch.setattr(sampling, "ID_SPAN", span)
+    ids = np.random.default_rng(4).choice(1 << 31, 700, replace=False).tolist()
+    rows = [("a" if i % 3 else "b", int(p), 0.0, 0.0, 0.0) for i, p in enumerate(ids)] + [("one", 7, 0.0, 0.0, 0.0), (None, 9, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want, whole = {}, {}
+    for name in {r[0] for r in rows}:
+        own = sorted(r[1] for r in rows if r[0] == name)
+        whole[name] = own
+        want |= {(name, p): i for i, p in enumerate(sorted(own, key=lambda p: ((p * 1103515245 + 12345) % 2147483648, p)))}
+    assert {(r.cloud, r.pid): r.pos for r in sampling.shuffled(df).collect()} == want
+    numbered = sampling.numbered(df, F.shiftright("pid", span), [F.col("pid")], "at").collect()
+    assert sorted((r.cloud or "", r["at"], r.pid) for r in numbered) == sorted((n or "", i, p) for n, own in whole.items() for i, p in enumerate(own))
+    few = {(r.cloud, r.slot): r.pid for r in sampling.picked(df, 50).where("cloud is not null").collect()}
+    assert few == {(n, i): whole[n][(i * 1103515245 + 12345) % 2147483648 % len(whole[n])] for n in ("a", "b") for i in range(50)} | {("one", 0): 7}
+
+
+def test_numbering_of_ties_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([("a", None, "x"), ("a", 5, "x"), ("a", 5, "y"), ("a", -3, "z")], "cloud string, pid long, __bucket string")
+    got = sampling.numbered(df.withColumnRenamed("__bucket", "begin"), F.shiftright("pid", 2), [F.col("pid"), F.col("begin")], "at")
+    assert sorted((r["at"], r.pid, r.begin) for r in got.collect()) == [(0, None, "x"), (1, -3, "z"), (2, 5, "x"), (3, 5, "y")]
+    assert sampling.shuffled(df.limit(0)).count() == 0
