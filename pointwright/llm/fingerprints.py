@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .packed import parts_for
-from .ranges import bounds_of, part_of
+from .ranges import first_ids, part_of
 from .words import U, mix64, steps
 
 P31 = (1 << 31) - 1
@@ -166,16 +166,15 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = parts_for(df)
-    bounds = bounds_of(docs, "doc_id", n)
-    docs = docs.withColumn("part", part_of(F.col("doc_id"), bounds))
-    firsts = sorted((r.part, r.first) for r in docs.groupBy("part").agg(F.min("doc_id").alias("first")).collect())  # a row per task
+    firsts = first_ids(docs, "doc_id", n)  # a number per task
     if not firsts:
         return df.sparkSession.createDataFrame([], COMPARED)
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+    before = {first: (i - 1) % len(firsts) for i, first in enumerate(firsts)}
     spark = df.sparkSession
     heads = spark.createDataFrame(list(before.items()), "doc_id long, before int")
+    own = docs.withColumn("part", part_of(docs, F.col("doc_id"), firsts))
     after = docs.join(F.broadcast(heads), "doc_id").select("doc_id", "text", F.col("before").alias("part"), F.lit(True).alias("after"))
-    dealt = docs.withColumn("after", F.lit(False)).unionByName(after).repartitionById(len(bounds) + 1, F.col("part"))
+    dealt = own.withColumn("after", F.lit(False)).unionByName(after).repartitionById(len(firsts), F.col("part"))
     dealt = dealt.sortWithinPartitions("after", "doc_id", F.xxhash64("text")).select("doc_id", "text", "after")
 
     def emit(ids: list[int], texts: list[str], following: list[str]) -> pa.RecordBatch:

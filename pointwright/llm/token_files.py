@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packed import parts_for
-from .ranges import bounds_of, part_of
+from .ranges import first_ids, range_of
 from .words import BYTE_VALUES, IS_SPACE, U, Words, mix64, powers, steps
 
 BLOCK_IDS = 1 << 18
@@ -200,7 +200,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str
     spark = df.sparkSession
     n = parts_for(df)
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = bounds_of(docs, "doc_id", n)
+    firsts = first_ids(docs, "doc_id", n)
+    shared = spark.sparkContext.broadcast(np.array(firsts, dtype=np.int64))  # eight bytes a task
     width = 2 if max(encoder(tokenizer).vocabulary, end_id + 1) <= 1 << 16 else 4
     dictionary = train_dictionary(docs, tokenizer, end_id, width)
     sha = hashlib.sha256(dictionary).hexdigest()
@@ -217,7 +218,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str
                     raw = serialise(np.append(ids[a:b], np.uint32(end_id)), width)
                     crcs.append(zlib.crc32(raw))
                     frames.append(z.compress(raw))
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(np.diff(off) + 1), pa.array(crcs, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "n", "crc", "frame"])
+                part = range_of(table.column("doc_id").to_numpy(), shared.value)
+                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(np.diff(off) + 1), pa.array(crcs, pa.int64()), pa.array(frames, pa.binary()), pa.array(part)], names=["doc_id", "n", "crc", "frame", "part"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, start = 0, 0
@@ -252,8 +254,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str
     NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     ARROW = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in BLOCKS.split(", ")])
-    coded = docs.mapInArrow(compress, "doc_id long, n long, crc long, frame binary").withColumn("part", part_of(F.col("doc_id"), bounds))
-    ordered = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "crc", "n")
+    coded = docs.mapInArrow(compress, "doc_id long, n long, crc long, frame binary, part int")
+    ordered = coded.repartitionById(max(1, len(firsts)), F.col("part")).sortWithinPartitions("doc_id", "crc", "n")
     ordered.mapInArrow(block, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
 
 

@@ -9,9 +9,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pointwright.llm import fingerprints, license_scan, queries, sentencepiece_codec, token_files
+from pointwright.llm import fingerprints, license_scan, queries, ranges, sentencepiece_codec, token_files
 from pointwright.llm.words import Words
 
 from .conftest import DOCS, SMALL, odd_rows, words
@@ -314,3 +315,18 @@ def test_fingerprints_of_odd_rows(spark, odd, clashing, none):
     one = fingerprints.compare_with_next(odd.where("doc_id = 11")).first()
     assert one.near_next == 1.0
     assert fingerprints.fingerprint(clashing).count() == len(odd_rows())
+
+
+def test_ranges_hold_every_id_once_and_are_even(spark):
+    rng = np.random.default_rng(5)
+    spread = rng.choice(1 << 40, 4000, replace=False) - (1 << 39)
+    ids = np.concatenate((spread, np.full(2000, 77)))  # a third of the rows have one id
+    df = spark.createDataFrame([(int(i),) for i in ids] + [(None,)], "doc_id long").repartition(6)
+    firsts = ranges.first_ids(df, "doc_id", 16)
+    assert firsts == sorted(set(firsts)) and firsts[0] == ids.min() and set(firsts) <= set(ids.tolist()) and 8 <= len(firsts) <= 16
+    part = ranges.range_of(ids, np.array(firsts))
+    assert part.min() == 0 and part.max() == len(firsts) - 1
+    assert np.bincount(ranges.range_of(spread, np.array(firsts))).max() < 1000
+    own = df.where("doc_id is not null").withColumn("part", ranges.part_of(df, F.col("doc_id"), firsts)).collect()
+    assert all(r.part == sum(f <= r.doc_id for f in firsts) - 1 for r in own) and len(own) == len(ids)
+    assert ranges.first_ids(df.limit(0), "doc_id", 16) == []
