@@ -39,6 +39,11 @@ def eigen(df: DataFrame) -> DataFrame:
     return d.withColumn("l2", 3 * F.col("__q") - F.col("l1") - F.col("l3")).drop("__q", "__p", "__s", "__t")
 
 
+def share(value: Column, size: Column) -> Column:
+    """value / size, NaN where the size is 0: neighbours that are all in one place have no shape."""
+    return F.when(size == 0, F.lit(float("nan"))).otherwise(value / F.when(size != 0, size))
+
+
 def normal(df: DataFrame) -> DataFrame:
     """Adds nx, ny, nz: absolute components of the unit vector of the smallest eigenvalue; null where it is not unique."""
     m = [[F.col("xx") - F.col("l3"), F.col("xy"), F.col("xz")], [F.col("xy"), F.col("yy") - F.col("l3"), F.col("yz")], [F.col("xz"), F.col("yz"), F.col("zz") - F.col("l3")]]

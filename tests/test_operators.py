@@ -292,3 +292,20 @@ def test_numbering_of_ties_nulls_and_no_rows(spark):
     got = sampling.numbered(df.withColumnRenamed("__bucket", "begin"), F.shiftright("pid", 2), [F.col("pid"), F.col("begin")], "at")
     assert sorted((r["at"], r.pid, r.begin) for r in got.collect()) == [(0, None, "x"), (1, -3, "z"), (2, 5, "x"), (3, 5, "y")]
     assert sampling.shuffled(df.limit(0)).count() == 0
+
+
+def test_neighbours_in_one_place_have_no_shape(spark, tmp_path):
+    """As in the SQL: NaN eigenvalues of a point whose neighbours are all copies of it, not an error."""
+    import duckdb
+    from tests.compare import same
+
+    from pointwright.plans import registry
+
+    rows = [(4000 * i + j, 3 * i, 0.1 * i) for i in range(25) for j in (1, 2)] + [(4000 * 99 + j, 0, 1.0) for j in range(4000) if j % 2000 == 5]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = registry.QUERIES["a4_eigenvalues"](spark, str(tmp_path))
+    assert got.count() == 50 and {r.e1 != r.e1 for r in got.collect()} == {True}
+    same(got, duck, registry.ORACLE_SQL["a4_eigenvalues"])
+    same(registry.QUERIES["a4_intensity_variance"](spark, str(tmp_path)), duck, registry.ORACLE_SQL["a4_intensity_variance"])
