@@ -309,3 +309,17 @@ def test_neighbours_in_one_place_have_no_shape(spark, tmp_path):
     assert got.count() == 50 and {r.e1 != r.e1 for r in got.collect()} == {True}
     same(got, duck, registry.ORACLE_SQL["a4_eigenvalues"])
     same(registry.QUERIES["a4_intensity_variance"](spark, str(tmp_path)), duck, registry.ORACLE_SQL["a4_intensity_variance"])
+
+
+def test_moments_search_places_not_copies(spark, monkeypatch):
+    """Copies of a place are searched once, and a flush of pairs is bounded."""
+    df = spark.createDataFrame([("a", 10 * c + p, 0.1 * p, 0.0, 0.0, float(c)) for c in range(30) for p in range(5)], "cloud string, pid long, x double, y double, z double, intensity double")
+    sizes, search = [], spatial._searched
+    monkeypatch.setattr(spatial, "_searched", lambda data, queries, *rest: (sizes.append((data.count(), queries.count())), search(data, queries, *rest))[1])
+    got = spatial.radius_moments(df, df, 0.15, ("intensity",)).collect()
+    assert sizes == [(5, 5)] and len(got) == 150
+    for r in got:
+        n = 60 if r.qid % 10 in (0, 4) else 90
+        assert r.n == n and abs(r.c_intensity_intensity - n * np.var(np.arange(30))) < 1e-6
+    parts = [(np.zeros(spatial.AT_ONCE // 4),)] * 7
+    assert max(sum(len(x[0]) for x in held) for held in spatial._gathered(iter(parts))) <= spatial.AT_ONCE
