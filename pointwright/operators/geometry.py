@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import radius_moments
+from .spatial import _written, knn_join, radius_moments
 
 CLOUD = "cloud"
 TINY = 1.1754943508222875e-38
@@ -65,7 +65,12 @@ def normal(df: DataFrame) -> DataFrame:
 
 def features(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """(cloud, qid, e1, e2, e3, nx, ny, nz): eigenvalues by their norm, descending, and the normal."""
-    d = normal(eigen(covariance(pairs, points)))
+    return features_of(covariance(pairs, points))
+
+
+def features_of(cov: DataFrame) -> DataFrame:
+    """features() of covariances."""
+    d = normal(eigen(cov))
     size = F.greatest(F.sqrt(F.col("l1") * F.col("l1") + F.col("l2") * F.col("l2") + F.col("l3") * F.col("l3")), F.lit(TINY))
     return d.select(CLOUD, "qid", *[F.greatest(F.abs(F.col(f"l{i}") / size), F.lit(TINY)).alias(f"e{i}") for i in (1, 2, 3)], "nx", "ny", "nz")
 
@@ -92,6 +97,13 @@ def covariance_around(data: DataFrame, queries: DataFrame, radius: float, sample
     return d.select(CLOUD, "qid", "n", *[F.when(by > 0, F.col(f"c_{a}_{b}") / by).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")])
 
 
+def covariance_radius_or_knn(data: DataFrame, queries: DataFrame, radius: float, k: int) -> DataFrame:
+    """covariance() of radius_or_knn(): only the k nearest of queries with at most k points in the radius are pairs."""
+    around = _written(covariance_around(data, queries, radius).where(F.col("n") > k))
+    rest = _written(queries.join(around.select(CLOUD, F.col("qid").alias("pid")), [CLOUD, "pid"], "left_anti"))
+    return around.unionByName(covariance(knn_join(data, rest, k), data))
+
+
 def eigenvector(matrix: Column, index: Column) -> Column:
     """Column `index` of a matrix given as an array of rows."""
     return F.transform(matrix, lambda row: F.get(row, index))

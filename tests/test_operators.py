@@ -323,3 +323,36 @@ def test_moments_search_places_not_copies(spark, monkeypatch):
         assert r.n == n and abs(r.c_intensity_intensity - n * np.var(np.arange(30))) < 1e-6
     parts = [(np.zeros(spatial.AT_ONCE // 4),)] * 7
     assert max(sum(len(x[0]) for x in held) for held in spatial._gathered(iter(parts))) <= spatial.AT_ONCE
+
+
+def test_first_points_of_crowded_cells_settle_queries(spark, monkeypatch):
+    """Searches that begin with a few points of each cell give what a search of all gives, uneven cells and copies included."""
+    rng = np.random.default_rng(15)
+    xyz = np.concatenate((rng.random((500, 3)), 0.05 * rng.random((300, 3)), [[0.5, 0.5, 0.5]] * 40, 3 + rng.random((6, 3)), [[9.0, 9, 9]]))
+    df = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(xyz)], "cloud string, pid long, x double, y double, z double")
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
+    key = (np.arange(len(xyz)) * 1103515245 + 12345) % 2147483648
+    monkeypatch.setattr(spatial, "FIRST_POINTS", (2, 5))
+    settled, left = spatial.settled_firsts(df, df, 0.3, 3)
+    assert settled.count() + left.count() == len(xyz) and settled.count() > 300 and left.count() > 0
+    got = spatial.ball_query(df, df, 0.3, 3).toPandas()
+    assert len(got) == 3 * len(xyz)
+    for q, g in got.groupby("qid"):
+        near = np.flatnonzero(d[q] < 0.3)
+        near = near[np.argsort(key[near])][:3].tolist()
+        assert g.sort_values("pos").nid.tolist() == near + near[:1] * (3 - len(near)) and set(g.cnt) == {len(near)}
+    some = df.where("pid % 9 = 0")
+    near = {r.pid for r in spatial.near_any(df, some, 0.1).collect()}
+    assert near == set(np.flatnonzero((d[:, ::9] < 0.1).any(axis=1)).tolist())
+
+
+def test_covariances_without_pairs(spark, random_cloud, monkeypatch):
+    """Balls of more than k points are summed; only the k nearest of the other queries are pairs."""
+    c = cloud(spark, random_cloud)
+    pairs, k = spatial.radius_or_knn(c, c, 0.3, 5), 5
+    want = geometry.covariance(pairs, c).toPandas().set_index("qid").sort_index()
+    asked, search = [], geometry.knn_join
+    monkeypatch.setattr(geometry, "knn_join", lambda data, queries, k: (asked.append(queries.count()), search(data, queries, k))[1])
+    got = geometry.covariance_radius_or_knn(c, c, 0.3, k).toPandas().set_index("qid").sort_index()
+    assert asked == [int((want.n <= k).sum())] and got.n.equals(want.n)
+    assert np.allclose(got[["xx", "xy", "xz", "yy", "yz", "zz"]], want[["xx", "xy", "xz", "yy", "yz", "zz"]])
