@@ -356,3 +356,15 @@ def test_covariances_without_pairs(spark, random_cloud, monkeypatch):
     got = geometry.covariance_radius_or_knn(c, c, 0.3, k).toPandas().set_index("qid").sort_index()
     assert asked == [int((want.n <= k).sum())] and got.n.equals(want.n)
     assert np.allclose(got[["xx", "xy", "xz", "yy", "yz", "zz"]], want[["xx", "xy", "xz", "yy", "yz", "zz"]])
+
+
+def test_ball_knn_makes_no_row_for_each_near_point(spark, monkeypatch):
+    """Queries with k points in their ball are settled by a few points of each crowded cell; kNN sees the others."""
+    rng = np.random.default_rng(16)
+    xyz = np.concatenate((rng.random((700, 3)), 4 + 3 * rng.random((5, 3))))
+    df = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(xyz)], "cloud string, pid long, x double, y double, z double")
+    monkeypatch.setattr(spatial, "FIRST_POINTS", (4,))
+    asked, first = [], spatial.first_in_ball
+    monkeypatch.setattr(spatial, "first_in_ball", lambda data, queries, *rest: (asked.append(queries.count()), first(data, queries, *rest))[1])
+    got = spatial.ball_knn(df, df, 0.5, 4).toPandas()
+    assert 5 <= asked[0] < 350 and len(got) == 4 * len(xyz) and set(got.cnt) == {4}
