@@ -4,7 +4,8 @@ Texts are encoded whole by the sentencepiece library. Beside it, CharacterMap re
 model's compiled character map (a double-array trie with the replacement strings behind it)
 and normalises by longest prefix, recording for each normalised byte the source byte it comes
 from. Pieces cover the normalised text end to end, so their lengths project every piece onto
-a byte span of the original text. A map of size 0 is the identity.
+a byte span of the original text. A map of size 0 is the identity; where spaces too stay as many
+as they are, spans are the running sums of the bytes that the pieces take, without reading the text.
 
 Each row is independent: no shuffle, memory of one step of texts.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,8 @@ from pyspark.sql import types as T
 
 from .words import steps
 
-SPACE = "▁".encode()
+MARK = "▁"
+SPACE = MARK.encode()
 
 
 class CharacterMap:
@@ -89,6 +92,9 @@ class Codec:
         kinds = pb.ModelProto.SentencePiece
         self.lengths = np.array([1 if p.type == kinds.BYTE else -1 if p.type == kinds.UNKNOWN else len(p.piece.encode()) for p in model.pieces], dtype=np.int64)
         self.decimal = [str(i) for i in range(len(self.lengths))]
+        self.plain = not self.map.units and not self.spec.remove_extra_whitespaces and self.spec.escape_whitespaces and self.spec.add_dummy_prefix
+        #: Bytes of the text that a piece takes, where its marks are spaces; negative for unknown pieces.
+        self.taken = self.lengths - np.array([0 if p.type in (kinds.BYTE, kinds.UNKNOWN) else 2 * p.piece.count(MARK) for p in model.pieces], dtype=np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.sp.encode(texts, num_threads=1)
@@ -130,6 +136,21 @@ class Codec:
         begin = source[ends[:-1]]
         return np.stack((begin, np.maximum(begin, source[ends[1:]])), axis=1)
 
+    def all_bounds(self, texts: list[str], ids: list[list[int]], flat: np.ndarray) -> Iterator[np.ndarray]:
+        """bounds() of texts; flat: their ids end to end."""
+        taken, end = self.taken[flat], 0
+        for text, some in zip(texts, ids, strict=True):
+            here = taken[end : end + len(some)]
+            end += len(some)
+            if not self.plain or not some or MARK in text or here.min() < 0:
+                yield self.bounds(text, some)
+                continue
+            out = np.empty((len(some), 2), dtype=np.int64)
+            np.cumsum(here, out=out[:, 1])
+            out[:, 1] -= 1  # the first mark is not in the text
+            out[0, 0], out[1:, 0] = 0, out[:-1, 1]
+            yield out
+
     def spans(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """bounds() as pairs."""
         return [(b, e) for b, e in self.bounds(text, ids).tolist()]
@@ -176,13 +197,15 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
             for table in steps(batch, "__text"):
                 texts = [t or "" for t in table.column("__text").to_pylist()]
                 ids = c.encode(texts)
-                made = {"n_tokens": lambda: [len(x) for x in ids], "ids": lambda: ids, "spans": lambda: [c.spans(t, x) for t, x in zip(texts, ids, strict=True)]}
+                sizes = np.array([len(x) for x in ids], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
+                made = {"n_tokens": lambda: sizes, "ids": lambda: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), flat), "spans": lambda: [c.spans(t, x) for t, x in zip(texts, ids, strict=True)]}
                 if {"decoded", "decoded_sha256"} & set(outputs):
                     decoded = c.decode(ids)
                     made |= {"decoded": lambda: decoded, "decoded_sha256": lambda: [hashlib.sha256(x.encode()).hexdigest() for x in decoded]}
                 made["ids_sha256"] = lambda: [hashlib.sha256(",".join([c.decimal[i] for i in x]).encode()).hexdigest() for x in ids]
-                made["spans_sha256"] = lambda: [hashlib.sha256(c.bounds(t, x).astype("<i8").tobytes()).hexdigest() for t, x in zip(texts, ids, strict=True)]
-                columns = [table.column(k).combine_chunks() for k in keep] + [pa.array(made[k](), OUTPUTS[k][1]) for k in outputs]
+                made["spans_sha256"] = lambda: [hashlib.sha256(b.astype("<i8", copy=False)).hexdigest() for b in c.all_bounds(texts, ids, flat)]
+                columns = [table.column(k).combine_chunks() for k in keep] + [x if isinstance(x := made[k](), pa.Array) else pa.array(x, OUTPUTS[k][1]) for k in outputs]
                 yield from pa.Table.from_arrays(columns, names=[*keep, *outputs]).to_batches()
 
     return df.mapInArrow(run, schema)

@@ -102,6 +102,18 @@ def test_piece_spans_cover_the_text(text):
     assert b"".join(raw[a:b] for a, b in spans) == raw  # the identity map: pieces tile the source
 
 
+def test_spans_of_many_texts_are_those_of_each(monkeypatch):
+    """Running sums give them without reading the texts; only texts that hold the mark itself are read."""
+    c = sentencepiece_codec.codec(PIECES)
+    texts = ["", " ", "over the hills", "  two  spaces ", "a\nb \0 c", "日本 語 🙂", "a▁ b", "▁", "<s> </s>"]
+    ids = c.encode(texts)
+    flat = np.array([i for x in ids for i in x], dtype=np.int32)
+    want, read, bounds = [c.spans(t, x) for t, x in zip(texts, ids, strict=True)], [], c.bounds
+    monkeypatch.setattr(c, "bounds", lambda t, x: (read.append(t), bounds(t, x))[1])
+    assert [[tuple(p) for p in b.tolist()] for b in c.all_bounds(texts, ids, flat)] == want
+    assert set(read) == {"", "a▁ b", "▁"}
+
+
 def test_the_query_and_the_pipeline_take_spans(spark, odd):
     """Their digests are of spans that cover each text from end to end."""
     c = sentencepiece_codec.codec(PIECES)
