@@ -41,7 +41,8 @@ NEIGHBOURS, OFFERS, REVERSE, COMPANY = 16, 4, 20, 24
 SETTLED, ROUNDS = 0.01, 15
 #: A beam is the larger of BEAM nodes and BEAM_ROOT times the root of the number of nodes.
 BEAM, BEAM_ROOT, EXPAND, ENTRIES, REFINE = 600, 2.65, 100, 32, 64
-PART_NODES = 1024
+#: Nodes of a part: a number of parts (PARTS) up to the larger size, as every part sends to every other; places that a task works on at once.
+PART_NODES, PARTS, TOGETHER = (1024, 8192), 24, 512
 STATE, MEET, OFFER, REPLY, CHANGED = 0, 1, 2, 3, 4
 
 
@@ -141,6 +142,28 @@ def _meet(u_ids: np.ndarray, u_q: np.ndarray, guests: list[np.ndarray], worst: n
     return np.broadcast_to(np.asarray(g)[:, None], best.shape)[ok], best[ok], value[ok]
 
 
+def _met(part: Part, hosts: np.ndarray, first: np.ndarray, ids: np.ndarray, worst: np.ndarray, q: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+    """_meet() at many nodes at once: candidates (ids, vectors, scales: guests and neighbours of each host, end to end) and offers (guest and other, as places in them, and similarity)."""
+    count = np.diff(first)[hosts]
+    g, k, d = int(count.max()), part.near.shape[1], q.shape[1]
+    here = np.arange(g) < count[:, None]
+    at = np.where(here, first[hosts][:, None] + np.arange(g), 0)
+    i = np.concatenate((np.where(here, ids[at], -1), part.near[hosts]), axis=1)
+    x = np.concatenate((q[at], part.nq[hosts]), axis=1)
+    y = np.concatenate((s[at], part.ns[hosts]), axis=1)
+    there = i >= 0
+    there[:, g:] &= ~(i[:, g:, None] == i[:, None, :g]).any(axis=2)  # a neighbour that is a guest too is there once
+    v = x.astype(np.float32) * y[:, :, None]
+    m = v[:, :g] @ v.transpose(0, 2, 1)
+    m[~there[:, None, :] | (i[:, :g, None] == i[:, None, :]) | (m <= np.where(here, worst[at], np.inf)[:, :, None])] = -np.inf
+    most = min(OFFERS, g + k)
+    best = np.argpartition(-m, most - 1, axis=2)[:, :, :most]
+    value = np.take_along_axis(m, best, axis=2)
+    ok = value > -np.inf
+    base = (np.arange(len(hosts)) * (g + k))[:, None, None]
+    return i.ravel(), x.reshape(-1, d), y.ravel(), np.broadcast_to(base + np.arange(g)[None, :, None], best.shape)[ok], (base + best)[ok], value[ok]
+
+
 def _offers(n: int, out: list, ids: list, q: list, s: list) -> Iterator[pa.RecordBatch]:
     if out:
         i, j, v = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -249,22 +272,14 @@ def _descend(state: DataFrame, n: int, salt: int) -> DataFrame:
         if MEET not in rest:
             return
         first, ids, worst, q, s = _guests(part, rest[MEET], salt)
+        hosts = np.flatnonzero(np.diff(first))
         out, all_ids, all_q, all_s, base, held = [], [], [], [], 0, 0
-        for u in range(len(part.ids)):
-            a, b = first[u], first[u + 1]
-            if a == b:
-                continue
-            own = part.near[u] >= 0
-            i = np.concatenate((ids[a:b], part.near[u][own]))
-            x = np.concatenate((q[a:b], part.nq[u][own]))
-            y = np.concatenate((s[a:b], part.ns[u][own]))
-            distinct = np.sort(np.unique(i, return_index=True)[1])
-            i, x, y = i[distinct], x[distinct], y[distinct]  # guests come first and are distinct
-            got = _meet(i, x.astype(np.float32) * y[:, None], np.arange(b - a), worst[a:b], OFFERS)
-            out.append((got[0] + base, got[1] + base, got[2]))
+        for low in range(0, len(hosts), TOGETHER):
+            i, x, y, guest, other, value = _met(part, hosts[low : low + TOGETHER], first, ids, worst, q, s)
+            out.append((guest + base, other + base, value))
             all_ids.append(i), all_q.append(x), all_s.append(y)
             base += len(i)
-            held += len(got[0])
+            held += len(value)
             if held > 1 << 18:
                 yield from _offers(n, out, all_ids, all_q, all_s)
                 out, all_ids, all_q, all_s, base, held = [], [], [], [], 0, 0
@@ -328,7 +343,8 @@ class Index:
         few.repartition(least, F.xxhash64("vec")).select("vec", "ids").mapInArrow(lambda b: once(b, True), kinds).withColumnRenamed("ids", "members").write.parquet(f"{self.path}/nodes")
         self.nodes = spark.read.parquet(f"{self.path}/nodes")
         self.size = self.nodes.count()
-        self.n = prime_from(max(4, -(-self.size // PART_NODES)))  # by size alone: packed rows go from every part to every part
+        each = min(max(PART_NODES[0], self.size // PARTS), PART_NODES[1])
+        self.n = prime_from(max(4, -(-self.size // each)))  # by size alone: packed rows go from every part to every part
         state = self._written(_random_company(self.nodes.select("node", "vec"), self.n, max(1, self.size // COMPANY), d), "graph0")
         self.rounds = 0
         for i in range(rounds):
@@ -446,14 +462,16 @@ def _beams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[_Beam]
 def _asks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """For each part, the queries that expand nodes of it: query, vector, worst similarity of the beam, nodes."""
     for _, beams in _beams(batches):
-        by: dict[int, list[tuple[_Beam, np.ndarray]]] = {}
-        for b in beams:
-            ids = b.ids[b.next()]
-            part = part_of_ids(ids, n)
-            for p in np.unique(part).tolist():
-                by.setdefault(p, []).append((b, ids[part == p]))
-        for p, some in by.items():
-            yield rows([p], [pack(_tag(MEET), np.array([b.query for b, _ in some]), np.concatenate([b.q for b, _ in some]), np.array([b.scale for b, _ in some], dtype=np.float32), np.array([b.worst() for b, _ in some], dtype=np.float32), np.array([len(i) for _, i in some]), np.concatenate([i for _, i in some]))])
+        nodes = [b.ids[b.next()] for b in beams]
+        who, ids = np.repeat(np.arange(len(beams)), [len(x) for x in nodes]), np.concatenate(nodes)
+        query, scale, worst = np.array([b.query for b in beams]), np.array([b.scale for b in beams], dtype=np.float32), np.array([b.worst() for b in beams], dtype=np.float32)
+        q = np.stack([b.q for b in beams])
+        order, cut = split_by(part_of_ids(ids, n), n)  # stable: by part, then by beam
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            at = order[cut[p] : cut[p + 1]]
+            start = np.flatnonzero(np.diff(who[at], prepend=-1))
+            b = who[at[start]]
+            yield rows([p], [pack(_tag(MEET), query[b], q[b].ravel(), scale[b], worst[b], np.diff(start, append=len(at)), ids[at])])
 
 
 def _answers(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
@@ -466,15 +484,12 @@ def _answers(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
     query, node, sim = [], [], []
     for blob in blobs:
         _, ids, q, scale, worst, size, nodes = unpack(blob)
-        q, off = q.reshape(len(ids), -1), np.concatenate(([0], np.cumsum(size)))
-        at = np.searchsorted(part.ids, nodes)
-        for i in range(len(ids)):
-            u = at[off[i] : off[i + 1]]
-            have = part.near[u] >= 0
-            other = part.near[u][have]
-            s = (part.nq[u][have].astype(np.float32) @ q[i].astype(np.float32)) * part.ns[u][have] * scale[i]
-            ok = s > worst[i]
-            query.append(np.full(np.count_nonzero(ok), ids[i])), node.append(other[ok]), sim.append(s[ok])
+        q, who, at = q.reshape(len(ids), -1), np.repeat(np.arange(len(ids)), size), np.searchsorted(part.ids, nodes)
+        for low in range(0, len(at), TOGETHER):  # asked nodes with their queries
+            u, w = at[low : low + TOGETHER], who[low : low + TOGETHER]
+            s = np.matmul(part.nq[u].astype(np.float32), q[w].astype(np.float32)[:, :, None])[:, :, 0] * part.ns[u] * scale[w][:, None]
+            row, col = np.nonzero((part.near[u] >= 0) & (s > worst[w][:, None]))
+            query.append(ids[w[row]]), node.append(part.near[u[row], col]), sim.append(s[row, col])
     out = list(_send(n, np.concatenate(query), REPLY, np.concatenate(node), np.concatenate(sim).astype(np.float32))) if query else []
     return pa.Table.from_batches(out or [rows([], [])])
 

@@ -381,3 +381,28 @@ def test_pipeline_on_odd_and_empty_rows(spark, odd, clashing, none):
             docs = stage(spark, docs, sf).persist()
             assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == columns, name
         assert docs.count() <= len(odd_rows())
+
+
+def test_meetings_at_many_nodes_are_those_at_each():
+    """Offers of hosts together are those of each host alone, where a neighbour may be a guest too and lists are of any length."""
+    rng = np.random.default_rng(5)
+    m, d, k = 40, 8, neighbours.NEIGHBOURS
+    q, scale = neighbours._quantised(rng.normal(size=(m, d)))
+    near = np.stack([np.where(np.arange(k) < rng.integers(0, k + 1), rng.permutation(m)[:k], -1) for _ in range(m)])
+    part = neighbours.Part(np.arange(m), q, scale, (near, np.zeros((m, k), dtype=np.float32), q[near], scale[near]))
+    lists = [rng.permutation(m)[: rng.integers(0, neighbours.REVERSE + 1)] for _ in range(m)]
+    first, ids = np.concatenate(([0], np.cumsum([len(x) for x in lists]))), np.concatenate(lists)
+    worst = np.where(rng.random(len(ids)) < 0.2, -np.inf, rng.normal(size=len(ids))).astype(np.float32)
+    hosts = np.flatnonzero(np.diff(first))
+    i, x, y, guest, other, value = neighbours._met(part, hosts, first, ids, worst, q[ids], scale[ids])
+    there = i >= 0
+    assert (x[there] == q[i[there]]).all() and (y[there] == scale[i[there]]).all()
+    got = sorted(zip(guest // (len(i) // len(hosts)), i[guest], i[other], value, strict=True))
+    want = []
+    for h, u in enumerate(hosts.tolist()):
+        a, b = first[u], first[u + 1]
+        who = np.concatenate((ids[a:b], near[u][(near[u] >= 0) & ~np.isin(near[u], ids[a:b])]))
+        g, o, v = neighbours._meet(who, q[who].astype(np.float32) * scale[who][:, None], np.arange(b - a), worst[a:b], neighbours.OFFERS)
+        want += zip(np.full(len(g), h), who[g], who[o], v, strict=True)
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in sorted(want)], rel=1e-4, abs=1e-5)
