@@ -368,3 +368,19 @@ def test_ball_knn_makes_no_row_for_each_near_point(spark, monkeypatch):
     monkeypatch.setattr(spatial, "first_in_ball", lambda data, queries, *rest: (asked.append(queries.count()), first(data, queries, *rest))[1])
     got = spatial.ball_knn(df, df, 0.5, 4).toPandas()
     assert 5 <= asked[0] < 350 and len(got) == 4 * len(xyz) and set(got.cnt) == {4}
+
+
+def test_searches_deal_by_points_and_flush_small_parts(spark, monkeypatch):
+    """A search begins with as many partitions as its points need, whatever the session's number; what leaves a batch is bounded even where parts are uneven."""
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    df = spark.createDataFrame([("a", i, 0.01 * i, 0.0, 0.0) for i in range(200)], "cloud string, pid long, x double, y double, z double")
+    monkeypatch.setattr(spatial, "TASK_BYTES", 200 * 27 * 48 // 9)
+    try:
+        assert spatial.radius_join(df, df, 0.025).count() == 200 * 5 - 6
+        assert int(spark.conf.get(first)) >= 9
+    finally:
+        spark.conf.unset(first)
+    uneven = [(np.zeros(n),) for n in (spatial.AT_ONCE // 2 - 1, spatial.AT_ONCE, 7)]
+    held = list(spatial._gathered(iter(uneven)))
+    assert max(sum(len(x[0]) for x in part) for part in held) <= spatial.AT_ONCE <= 1 << 18
+    assert sum(len(x[0]) for part in held for x in part) == spatial.AT_ONCE * 3 // 2 + 6
