@@ -384,3 +384,20 @@ def test_searches_deal_by_points_and_flush_small_parts(spark, monkeypatch):
     held = list(spatial._gathered(iter(uneven)))
     assert max(sum(len(x[0]) for x in part) for part in held) <= spatial.AT_ONCE <= 1 << 18
     assert sum(len(x[0]) for part in held for x in part) == spatial.AT_ONCE * 3 // 2 + 6
+
+
+def test_ball_firsts_is_a_row_for_each_query(spark, monkeypatch):
+    """Lists of the first k as in the ball query; nothing is searched again where the first points of each cell settle every query."""
+    rng = np.random.default_rng(17)
+    df = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(rng.random((300, 3)))], "cloud string, pid long, x double, y double, z double")
+    stray = df.unionByName(spark.createDataFrame([("a", 300, 9.0, 9.0, 9.0)], df.schema))
+    monkeypatch.setattr(spatial, "FIRST_POINTS", (2, 20))
+    asked, first = [], spatial.first_in_ball
+    monkeypatch.setattr(spatial, "first_in_ball", lambda *given: (asked.append(1), first(*given))[1])
+    for c, again in ((df, 0), (stray, 1)):
+        got = {r.qid: list(r.nids) for r in spatial.ball_firsts(c, c, 0.6, 3).collect()}
+        assert len(asked) == again
+        asked.clear()
+        edges = spatial.ball_query(c, c, 0.6, 3).where("pos < cnt").toPandas().sort_values("pos")
+        assert got == {q: g.nid.tolist() for q, g in edges.groupby("qid")} and len(got) == c.count()
+        asked.clear()
