@@ -53,6 +53,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: MB of an Arrow batch: an executor keeps buffers of that kind from stage to stage, beside a heap that has grown by then.
+BATCH_MB = 4
 
 
 def _stage(f):
@@ -60,7 +62,7 @@ def _stage(f):
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        small_batches(spark)
+        small_batches(spark, BATCH_MB)
         extra = {c: f"__extra{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
         out = f(spark, docs.withColumnsRenamed(extra), sf_dir)
         return out.withColumnsRenamed({new: c for c, new in extra.items()})

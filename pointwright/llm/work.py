@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches between the JVM and Python hold at most 16 MB: rows are whole texts here, some very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def small_batches(spark: SparkSession, mb: int = 16) -> None:
+    """Let Arrow batches between the JVM and Python hold at most so many MB: rows are whole texts here, some very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:

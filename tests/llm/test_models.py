@@ -1,6 +1,7 @@
 """Operators 4, 5, 7, 9 and the pipeline: held-out accuracy, targets, recall, and odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -383,6 +384,20 @@ def test_pipeline_on_odd_and_empty_rows(spark, odd, clashing, none):
         assert docs.count() <= len(odd_rows())
 
 
+def test_pipeline_batches_are_small(spark):
+    """12 MB of texts reach a stage's workers in batches of 4 MB and a row at most, whatever the session had before."""
+    docs = spark.range(0, 12, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.lit(1 << 20)).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    queries.small_batches(spark)
+    stage = corpus_pipeline._stage(lambda spark, docs, sf: docs.mapInArrow(sizes, "rows long, size long"))
+    got = stage(spark, docs, "").collect()
+    assert sum(r.rows for r in got) == 12 and max(r["size"] for r in got) < 6 << 20
+
+
 def test_meetings_at_many_nodes_are_those_at_each():
     """Offers of hosts together are those of each host alone, where a neighbour may be a guest too and lists are of any length."""
     rng = np.random.default_rng(5)
