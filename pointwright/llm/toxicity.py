@@ -21,7 +21,8 @@ answers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .packed import SCHEMA, deal, frugal, pack, pack_table, rows, split_by, unpack, unpack_table
 from .substring_dedup import join_words, ranges
-from .words import U, Words, mix64, release, steps
+from .words import STEP_BYTES, U, Words, mix64, release, steps
 from .work import written
 
 #: STRENGTH and the choice of FEATURES are of the tuning fold of the learning rows (classify).
@@ -39,8 +40,10 @@ FEATURES = ("evidence", "peak")
 #: Rows that the score's curve is fitted on, at most (about; chosen by a hash of the id).
 FIT_ROWS = 20_000
 HELD = 1 << 20
-#: Bytes of text that a chunk holds, about.
-CHUNK_BYTES = 16 << 20
+#: Bytes of text that a chunk holds, about, and of bags that a mapper packs at once.
+CHUNK_BYTES, BAG_BYTES = 16 << 20, 16 << 20
+#: Bytes of packed pieces of a chunk that wait to be read together.
+PACKED_BYTES = 1 << 20
 #: Spreads contexts (32 bits) over the parts of the table; their product has 63 bits.
 SPREAD = 1640531527
 #: Counts of an n-gram: by class in the rows that the first models learn from, and in the tuning fold.
@@ -81,21 +84,67 @@ def bag(table: pa.Table, text: str) -> pa.Table:
 
 
 def bags(df: DataFrame, n: int) -> DataFrame:
-    """(part, blob): the rows of df (with __bag, a text, and __chunk, one of n) as bags, packed by chunk and brought together."""
+    """(part, blob): the rows of df (with __bag, a text, and __chunk, one of n) as bags, packed by chunk and brought together.
+
+    A mapper packs BAG_BYTES at once whatever the size of its Arrow batches, so that smaller ones do not make more pieces.
+    """
+
+    def packed(made: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(made)
+        order, cut = split_by(table.column("__chunk").to_numpy(), n)
+        table = table.drop_columns("__chunk").take(pa.array(order))
+        parts = np.flatnonzero(np.diff(cut)).tolist()
+        return rows(parts, [pack_table(table.slice(cut[p], cut[p + 1] - cut[p])) for p in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = [], 0
         for batch in batches:
-            made = [bag(table, "__bag") for table in steps(batch, "__bag")]
-            if made:
-                table = pa.concat_tables(made)
-                order, cut = split_by(table.column("__chunk").to_numpy(), n)
-                table = table.drop_columns("__chunk").take(pa.array(order))
-                parts = np.flatnonzero(np.diff(cut)).tolist()
-                yield rows(parts, [pack_table(table.slice(cut[p], cut[p + 1] - cut[p])) for p in parts])
+            for table in steps(batch, "__bag"):
+                made.append(bag(table, "__bag"))
+                held += made[-1].nbytes
+                if held >= BAG_BYTES:
+                    yield packed(made)
+                    made, held = [], 0
+        if made:
+            yield packed(made)
 
     return df.mapInArrow(frugal(run), SCHEMA).repartition(n, "part")
 
 
+def joined(blobs: Iterable[bytes], most: int = 4 * STEP_BYTES) -> Iterator[pa.Table]:
+    """Packed bags, as many together as come to `most` bytes, so that work done once for a table does not grow with the number of pieces."""
+    held, n = [], 0
+    for blob in blobs:
+        table = unpack_table(blob)
+        if held and n + table.nbytes > most:
+            yield pa.concat_tables(held).combine_chunks()
+            held, n = [], 0
+        held.append(table)
+        n += table.nbytes
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+class Distinct:
+    """A growing set of numbers: new ones wait until they are as many as those sorted already (or ALONE), so all sorting together is near linear."""
+
+    ALONE = 1 << 16
+
+    def __init__(self) -> None:
+        self.sorted, self.waiting, self.n = np.zeros(0, dtype=U), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(np.unique(keys))
+        self.n += len(self.waiting[-1])
+        if self.n > max(self.ALONE, len(self.sorted)):
+            self.keys()
+
+    def keys(self) -> np.ndarray:
+        if self.waiting:
+            self.sorted, self.waiting, self.n = np.unique(np.concatenate((self.sorted, *self.waiting))), [], 0
+        return self.sorted
+
+
 def read_bags(bag: pa.Array, times: pa.Array) -> tuple[Words, np.ndarray]:
     """The words of bags and how often each stands."""
     w = Words(bag)
@@ -114,7 +163,7 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return distinct, np.stack([np.bincount(where, weights=c, minlength=len(distinct)) for c in counts.T], axis=1)
 
 
-def counts_of(bags_: list[pa.Table], known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def counts_of(bags_: Iterable[pa.Table], known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of bags (__id, __bag, __times) whose ids are known (__id, toxic, left), and their COUNTS."""
     held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=U), np.zeros((0, len(COUNTS))))]
     for table in bags_:
@@ -141,7 +190,7 @@ def ngram_counts(texts: DataFrame, known: DataFrame) -> DataFrame:
     dealt = bags(texts.select("__id", chunk.alias("__chunk"), F.col("text").alias("__bag")), chunks)
 
     def count(docs: pa.Table, known: pa.Table) -> pa.Table:
-        keys, sums = counts_of([unpack_table(b) for b in docs["blob"].to_pylist()], known.drop_columns("part"))
+        keys, sums = counts_of(joined(docs["blob"].to_pylist()), known.drop_columns("part"))
         order, cut = split_by(mix64(keys) % U(n), n)
         parts = np.flatnonzero(np.diff(cut)).tolist()
         out = rows(parts, [pack(keys[at], *sums[at].T.astype(np.int64)) for at in (order[cut[p] : cut[p + 1]] for p in parts)])
@@ -286,18 +335,31 @@ def _asked(dealt: DataFrame, n: int) -> DataFrame:
     """(part, __chunk, blob): each chunk's distinct n-grams, by the part of the table (of n) that has their context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: defaultdict[int, Distinct] = defaultdict(Distinct)
+        blobs_: defaultdict[int, list[bytes]] = defaultdict(list)
+        sizes: defaultdict[int, int] = defaultdict(int)
+
+        def add(c: int) -> None:
+            for table in joined(blobs_.pop(c)):
+                for step in steps(table, "__bag"):
+                    w = Words(step.column("__bag").combine_chunks())
+                    if len(w):
+                        held[c].add(word_grams(w, np.unique(w.hashes(), return_index=True)[1])[0])
+            sizes[c] = 0
+
         for batch in batches:
             for c, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                for table in steps(unpack_table(blob), "__bag"):
-                    w = Words(table.column("__bag").combine_chunks())
-                    if len(w):
-                        first = np.unique(w.hashes(), return_index=True)[1]
-                        held[c] = np.unique(np.concatenate((held.get(c, np.zeros(0, dtype=U)), word_grams(w, first)[0])))
-        for c, keys in held.items():
+                blobs_[c].append(blob)
+                sizes[c] += len(blob)
+                if sizes[c] > PACKED_BYTES:
+                    add(c)
+        for c in list(blobs_):
+            add(c)
+        for c, own in held.items():
+            keys = own.keys()
             order, cut = split_by(_part(keys.view(np.int64), n), n)
             parts = np.flatnonzero(np.diff(cut)).tolist()
-            blobs = [pack(np.sort(keys[order[cut[p] : cut[p + 1]]])) for p in parts]
+            blobs = [pack(keys[order[cut[p] : cut[p + 1]]]) for p in parts]  # by rising key: the order is stable
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([c] * len(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "__chunk", "blob"])
 
     return dealt.mapInArrow(frugal(run), "part int, __chunk int, blob binary")
@@ -350,8 +412,8 @@ def scored(df: DataFrame, model: Model, a: np.ndarray, b: float, id_col: str = "
         order = np.argsort(keys)
         keys, values = keys[order], values[order].astype(float)
         out = []
-        for blob in docs["blob"].to_pylist():
-            for t in steps(unpack_table(blob), "__bag"):
+        for table in joined(docs["blob"].to_pylist()):
+            for t in steps(table, "__bag"):
                 x = _evidence_of(t.column("__bag").combine_chunks(), t.column("__times"), keys, values)
                 p = 1 / (1 + np.exp(-np.clip(x @ a + b, -700, 700)))
                 out.append(pa.Table.from_arrays([t["doc_id"], *(pa.array(c) for c in x.T.copy()), pa.array(p), *(t[k] for k in kept)], names=["doc_id", *FEATURES, "score", *kept]))

@@ -51,6 +51,30 @@ def test_toxicity_learns_nothing_from_held_out_labels(labelled):
     assert one == two
 
 
+def test_toxicity_pieces_do_not_grow_with_the_number_of_batches(spark, monkeypatch):
+    """600 texts in batches of 7: a piece for each chunk, not for each batch and chunk; read together they ask what single rows would, without a sort of all for each piece."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    texts = [(i, i % 3, f"word{i} the {'x' * (i % 9)} common") for i in range(600)]
+    df = spark.createDataFrame(texts, "__id long, __chunk int, __bag string").coalesce(1)
+    try:
+        conf.set(name, "7")
+        got = toxicity.bags(df, 3).toPandas()
+    finally:
+        conf.set(name, before)
+    assert sorted(got.part) == [0, 1, 2]
+    assert sum(t.num_rows for t in toxicity.joined(got.blob)) == 600
+    parts = [t.slice(i, 1) for b in got.blob for t in [toxicity.unpack_table(b)] for i in range(t.num_rows)]
+    blobs = [toxicity.pack_table(t) for t in parts]
+    assert len(list(toxicity.joined(blobs))) == 1 and len(list(toxicity.joined(blobs, 100))) > 100
+    rows, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: (rows.append(len(x)), unique(x, *a, **k))[1])
+    keys, held = np.arange(400_000, dtype=np.uint64) * np.uint64(7) % np.uint64(399_989), toxicity.Distinct()
+    for i in range(0, len(keys), 500):
+        held.add(keys[i : i + 500])
+    assert np.array_equal(held.keys(), unique(keys)) and sum(rows) < 6 * len(keys)
+
+
 def test_toxicity_counts_the_tuning_fold(labelled, monkeypatch):
     """An n-gram of one text of the tuning fold is in the final models' table, not in the calibration's."""
     df, labels = labelled
