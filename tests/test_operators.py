@@ -32,6 +32,27 @@ def test_radius_join_is_brute_force(spark, random_cloud):
     assert {(r.qid, r.nid) for r in spatial.radius_join(c, c, 0.3).collect()} == want
 
 
+def test_radius_join_of_copies_searches_places(spark, random_cloud, monkeypatch):
+    """Places of 3 points, one of 300 and one whose point has no id: all pairs of points, of which none is made by the search."""
+    points = np.concatenate([random_cloud[:40]] * 3 + [random_cloud[:1]] * 297 + [[[0.0, -0.0, 0.0]]] * 2)
+    rows = [("a", i if i < len(points) - 1 else None, *map(float, p)) for i, p in enumerate(points)] + [("a", 900, None, 0.0, 0.0), ("a", 901, float("nan"), 0.0, 0.0)]
+    c = spark.createDataFrame(rows, SCHEMA)
+    searched, found = spatial._searched, []
+    monkeypatch.setattr(spatial, "_searched", lambda *a: (found.append(searched(*a)), found[0])[1])
+    got = [(r.qid, r.nid, r.dist) for r in spatial.radius_join(c, c, 0.3, digits=6).collect()]
+    want, d = brute(points, 0.3)
+    name = lambda i: i if i < len(points) - 1 else None
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(got, key=key) == sorted(((name(i), name(j), float(np.round(d[i, j], 6))) for i, j in want), key=key)
+    assert found[0].count() < len(want) / 50
+
+
+def test_distances_round_halves_up():
+    x = np.array([0.5e-6, 1.5e-6, 0.1234565, 1.0, 1e300])
+    assert spatial._rounded(x, 6).tolist() == [1e-6, 2e-6, 0.123457, 1.0, 1e300]
+    assert spatial._rounded(x, None) is x
+
+
 @pytest.mark.parametrize("start", [None, 0.1, 5.0])
 def test_knn_is_brute_force_at_any_first_size(spark, random_cloud, start):
     c = cloud(spark, random_cloud)
